@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import byte_bpe, byte_cnn, quality_rules, secret_ledger, toxicity
+from siltstone.llm import byte_bpe, byte_cnn, decontaminate, minhash, quality_rules, secret_ledger, toxicity
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -20,6 +20,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -33,6 +37,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), k=4, similarity=80)
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ledger.secret_scan(_table(spark, sf_dir, "documents"))
 
@@ -40,9 +48,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_decontamination": op2_decontamination,
         "op3_toxicity": op3_toxicity,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_quality_classifier": op8_quality_classifier,
+        "op9_minhash_near_dedup": op9_minhash_near_dedup,
         "op10_secret_scan": op10_secret_scan,
     }
 
