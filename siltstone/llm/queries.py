@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import byte_bpe, byte_cnn, decontaminate, line_dedup, minhash, quality_rules, secret_ledger, toxicity
+from siltstone.llm import byte_bpe, byte_cnn, decontaminate, katz, line_dedup, minhash, quality_rules, secret_ledger, toxicity
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -36,6 +36,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op5_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(_table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return byte_bpe.round_trip(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
@@ -55,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_decontamination": op2_decontamination,
         "op3_toxicity": op3_toxicity,
         "op4_line_dedup": op4_line_dedup,
+        "op5_katz_backoff": op5_katz_backoff,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_quality_classifier": op8_quality_classifier,
         "op9_minhash_near_dedup": op9_minhash_near_dedup,

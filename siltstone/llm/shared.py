@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -26,9 +27,16 @@ def table(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{folder(spark).rstrip('/')}/siltstone-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of frames that are no longer referenced."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop(spark: SparkSession, *paths: str) -> None:
     """Deletes tables that nothing reads any more."""
     for p in paths:
