@@ -9,8 +9,8 @@ differs with probability 0.2, and more than RADIUS of 64 do so about once in
 10**5 pairs; links are confirmed on the full sets.
 
 Equal sets are one representative.  In each bucket of the index every member
-is first compared with the bucket's least member only, which is linear however
-large the bucket is.  Members of a bucket that are then still in different
+is first compared with the bucket's leader only, the member that shares most
+buckets with others; that is linear however large the bucket is.  Members of a bucket that are then still in different
 components are compared by signature in bounded blocks, and the pairs within
 RADIUS confirmed.  No link between different components is lost, and members
 that are connected already cost nothing.
@@ -144,25 +144,30 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, similarity: int) -> DataF
     return out
 
 
-def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one pair of blocks with different labels and signatures within RADIUS."""
-    pdf = pdf.sort_values("rep")
-    sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(-1, SYMBOLS)
-    rep, label, own = (pdf[c].to_numpy() for c in ("rep", "label", "own"))
-    across = pdf["bi"].iloc[0] != pdf["bj"].iloc[0]
-    out = []
-    for i in range(len(rep) - 1):
-        j = slice(i + 1, None)
-        other = (label[j] != label[i]) & ((own[j] != own[i]) if across else True)
-        at = np.flatnonzero(other) + i + 1
-        if len(at):
-            at = at[(sig[at] != sig[i]).sum(axis=1) <= RADIUS]
-            out.append(np.stack([np.full(len(at), rep[i]), rep[at]], axis=1))
-    return pd.DataFrame(np.concatenate(out) if out else np.empty((0, 2), np.int64), columns=["a", "b"])
-
-
-def rest_pairs(keys: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs within RADIUS that share a bucket but not a component."""
+def _compare(similarity: int):
+    """Pairs of one pair of blocks with different labels, sizes that allow a link and signatures within RADIUS."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("size")
+        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(-1, SYMBOLS)
+        rep, label, own, size = (pdf[c].to_numpy() for c in ("rep", "label", "own", "size"))
+        across = pdf["bi"].iloc[0] != pdf["bj"].iloc[0]
+        most = np.searchsorted(size, size * 100 // similarity, side="right")
+        out = []
+        for i in range(len(rep) - 1):
+            j = slice(i + 1, int(most[i]))
+            other = (label[j] != label[i]) & ((own[j] != own[i]) if across else True)
+            at = np.flatnonzero(other) + i + 1
+            if len(at):
+                at = at[(sig[at] != sig[i]).sum(axis=1) <= RADIUS]
+                out.append(np.stack([np.minimum(rep[i], rep[at]), np.maximum(rep[i], rep[at])], axis=1))
+        return pd.DataFrame(np.concatenate(out) if out else np.empty((0, 2), np.int64), columns=["a", "b"])
+
+    return run
+
+
+def rest_pairs(keys: DataFrame, reps: DataFrame, labels: DataFrame, similarity: int) -> DataFrame:
+    """Pairs within RADIUS that share a bucket but not a component, of sets of sizes that may link."""
     held = keys.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn(
         "label", F.coalesce("label", "rep")
     )
@@ -172,13 +177,13 @@ def rest_pairs(keys: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame
         .where("lo <> hi")
         .select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     )
-    rows = held.join(mixed, "key").join(reps.select("rep", "sig"), "rep")
+    rows = held.join(mixed, "key").join(reps.select("rep", "sig", "size"), "rep")
     own = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).cast("int")
     rows = rows.withColumn("own", own).withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)")))
     rows = rows.select(
-        "key", "rep", "label", "sig", "own", F.least("own", "with").alias("bi"), F.greatest("own", "with").alias("bj")
+        "key", "rep", "label", "sig", "size", "own", F.least("own", "with").alias("bi"), F.greatest("own", "with").alias("bj")
     )
-    return rows.groupBy("key", "bi", "bj").applyInPandas(_compare, "a long, b long").distinct()
+    return rows.groupBy("key", "bi", "bj").applyInPandas(_compare(similarity), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFrame:
@@ -193,17 +198,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFr
     reps, reps_path = shared.table(
         signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
         .groupBy("h1", "h2")
-        .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
+        .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.min("n_shingles").alias("size"))
     )
     index = reps.select("rep", "sig").mapInArrow(_keys, "key long, rep long")
-    shares = index.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    keys, keys_path = shared.table(index.join(shares.select("key", "leader"), "key"))
+    shares = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    keys, keys_path = shared.table(index.join(shares, "key"))
+    degree = keys.groupBy("rep").agg(F.sum("n").alias("degree"))
+    best = F.max(F.struct("degree", (-F.col("rep")).alias("less")))
+    leaders = keys.join(degree, "rep").groupBy("key").agg((-best["less"]).alias("leader"))
     stars, stars_path = shared.table(
-        keys.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+        keys.join(leaders, "key")
+        .where("rep <> leader")
+        .select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b"))
+        .distinct()
     )
     links = confirm(stars, docs, k, similarity)
     labels = shared.components(links)
-    more, more_path = shared.table(rest_pairs(keys.select("key", "rep"), reps, labels))
+    more, more_path = shared.table(rest_pairs(keys.select("key", "rep"), reps, labels, similarity))
     if more.limit(1).count():
         rest = confirm(more.join(stars, ["a", "b"], "left_anti"), docs, k, similarity)
         if rest.limit(1).count():

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import byte_bpe, byte_cnn, decontaminate, katz, line_dedup, minhash, quality_rules, secret_ledger, toxicity
+from siltstone.llm import byte_bpe, byte_cnn, decontaminate, katz, line_dedup, minhash, quality_rules, secret_ledger, suffix_dedup, toxicity
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -40,6 +40,10 @@ def op5_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(_table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return byte_bpe.round_trip(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
@@ -60,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": op3_toxicity,
         "op4_line_dedup": op4_line_dedup,
         "op5_katz_backoff": op5_katz_backoff,
+        "op6_suffix_dedup": op6_suffix_dedup,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_quality_classifier": op8_quality_classifier,
         "op9_minhash_near_dedup": op9_minhash_near_dedup,

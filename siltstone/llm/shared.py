@@ -22,11 +22,11 @@ def folder(spark: SparkSession) -> str:
     return f"file://{_own[0]}"
 
 
-def table(df: DataFrame) -> tuple[DataFrame, str]:
+def table(df: DataFrame, compression: str = "snappy") -> tuple[DataFrame, str]:
     """The frame as a written table, and its path: later reads need none of the lineage."""
     spark = df.sparkSession
     path = f"{folder(spark).rstrip('/')}/siltstone-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     release(spark)
     return spark.read.schema(df.schema).parquet(path), path
 

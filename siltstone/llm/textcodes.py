@@ -29,17 +29,17 @@ _EXACT = mix(np.arange(1, 257, dtype=U64))
 _LOWER = _EXACT.copy()
 _LOWER[65:91] = _EXACT[97:123]
 _BASE = U64(0x9E3779B97F4A7C15)
-_powers = np.ones(1, U64)
+_powers = {False: np.ones(1, U64), True: np.ones(1, U64)}
 
 
-def powers(n: int) -> np.ndarray:
-    """At least ``n`` powers of the base, modulo 2**64."""
-    global _powers
-    if len(_powers) < n:
-        p = np.full(1 << max(8, (n - 1).bit_length()), _BASE, U64)
+def powers(n: int, inverse: bool = False) -> np.ndarray:
+    """At least ``n`` powers of the base, or of its inverse, modulo 2**64."""
+    if len(_powers[inverse]) < n:
+        base = U64(pow(int(_BASE), -1, 1 << 64)) if inverse else _BASE
+        p = np.full(1 << max(8, (n - 1).bit_length()), base, U64)
         p[0] = 1
-        _powers = np.cumprod(p, dtype=U64)
-    return _powers
+        _powers[inverse] = np.cumprod(p, dtype=U64)
+    return _powers[inverse]
 
 
 def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
