@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import chunkers, references
-from siltstone.operators import cachesim, cluster, dedup, placement, registry, similarity, trace
+from siltstone.operators import cachesim, cluster, dedup, ingest, placement, registry, similarity, trace
 from siltstone.sources import archives
 from siltstone.streaming import events as ev
 
@@ -575,6 +575,96 @@ def kmeans_clusters(spark, d):
     return cluster.kmeans(T(spark, d, "embeddings"), 10)
 
 
+# Ingest rules ------------------------------------------------------------------------------
+
+LAYERS = "WITH l AS (SELECT source AS repo, doc_id AS seq, octet_length(encode(text))::BIGINT AS stored, n_chars AS compressed FROM documents)\n"
+
+
+def _layers(spark, d):
+    return _docs(spark, d).select(F.col("source").alias("repo"), F.col("doc_id").alias("seq"), F.octet_length("text").cast("long").alias("stored"), F.col("n_chars").alias("compressed"))
+
+
+@query(LAYERS + "SELECT repo, seq FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY seq) AS n FROM l) WHERE n > 10 AND stored > 1.03 * compressed")
+def mode_keep_raw(spark, d):
+    return ingest.keep_raw(_layers(spark, d), 10, 1.03).select("repo", "seq")
+
+
+@query("WITH l AS (SELECT lang || source AS repo, doc_id AS seq FROM documents) SELECT repo, seq FROM l WHERE repo IN (SELECT repo FROM l GROUP BY repo HAVING count(*) < 6)")
+def mode_few_layers(spark, d):
+    rows = _docs(spark, d).select(F.concat("lang", "source").alias("repo"), F.col("doc_id").alias("seq"))
+    return ingest.few_layers(rows, 6)
+
+
+@query("SELECT doc_id, doc_id % 5 <> 0 AND doc_id % 7 <> 0 AS valid FROM documents")
+def descriptor_validation(spark, d):
+    digest = F.when(F.col("doc_id") % 5 == 0, "sha256:zz").otherwise(F.concat(F.lit("sha256:"), F.sha2("text", 256)))
+    size = F.when(F.col("doc_id") % 7 == 0, -1).otherwise(F.octet_length("text"))
+    return _docs(spark, d).select("doc_id", ingest.valid_descriptor(digest, size, F.col("lang")).alias("valid"))
+
+
+@query("SELECT hash, min(doc_id) AS doc_id FROM (SELECT sha256(text) AS hash, doc_id FROM documents) WHERE doc_id >= 500 AND hash NOT IN (SELECT sha256(text) FROM documents WHERE doc_id < 500) GROUP BY hash")
+def insert_if_absent(spark, d):
+    rows = _docs(spark, d).select(F.sha2("text", 256).alias("hash"), "doc_id")
+    return ingest.insert_if_absent(rows.where("doc_id < 500"), rows.where("doc_id >= 500"), "hash", "doc_id")
+
+
+@query("""WITH s AS (SELECT l_orderkey AS upload, l_linenumber AS n, max(l_partkey) AS state FROM lineitem GROUP BY 1, 2), w AS (SELECT o_orderkey AS upload, 3 AS "offset" FROM orders)
+SELECT w.upload, w."offset", e.state AS exact, (SELECT arg_max(state, n) FROM s WHERE s.upload = w.upload AND n <= 3) AS nearest FROM w LEFT JOIN s e ON e.upload = w.upload AND e.n = 3""")
+def resume_state(spark, d):
+    s = T(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("upload"), F.col("l_linenumber").alias("at")).agg(F.max("l_partkey").alias("state"))
+    return ingest.resume_state(s, T(spark, d, "orders").select(F.col("o_orderkey").alias("upload"), F.lit(3).alias("offset")))
+
+
+@query(PIECE + "SELECT doc_id, ordinal, (ordinal * 512)::BIGINT AS \"offset\", size % 4096 AS size, (doc_id % 268435456)::BIGINT AS ref, (ordinal % 4)::BIGINT AS flag FROM c")
+def recipe_bit_packing(spark, d):
+    c = _chunks(spark, d)
+    high, low = ingest.recipe_bits(F.col("ordinal") * 512, F.col("size") % 4096, F.col("doc_id"), F.col("ordinal") % 4)
+    packed = c.select("doc_id", "ordinal", high.alias("high"), low.alias("low"))
+    return packed.select("doc_id", "ordinal", *[v.alias(k) for k, v in ingest.recipe_fields(F.col("high"), F.col("low")).items()])
+
+
+@query(REQS + "SELECT lower(method) AS op, repo, written::VARCHAR AS size FROM r")
+def operation_log(spark, d):
+    lines = _reqs(spark, d).select(F.concat(F.lower("method"), F.lit(" repo:"), "repo", F.lit(" size:"), F.col("written").cast("string")).alias("value"))
+    return ingest.parse_log(lines).select("op", F.col("fields.repo").alias("repo"), F.col("fields.size").alias("size"))
+
+
+@query(HASHES + ", m AS (SELECT b, min(dist) AS cost, arg_min(a, dist * 1000000 + a) AS a FROM p GROUP BY b) SELECT vec_id AS b, CASE WHEN cost < 24 THEN a END AS reference, least(24, coalesce(cost, 24))::INT AS cost FROM h LEFT JOIN m ON vec_id = b")
+def best_reference(spark, d):
+    h = _hashes(spark, d)
+    pairs = similarity.grid_pairs(h).select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b"), similarity.hamming("a", "b").alias("cost"))
+    return ingest.best_reference(pairs, h.select(F.col("vec_id").alias("b"), F.lit(24).alias("own_cost")))
+
+
+@query(HASHES + """, t AS (SELECT 8 * i AS threshold FROM range(1, 6) x(i)), n AS (SELECT b, min(dist) AS dist FROM p GROUP BY b), k AS (SELECT threshold, sum(CASE WHEN dist <= threshold THEN dist ELSE 24 END + threshold // 8)::BIGINT AS cost FROM n, t GROUP BY threshold),
+u AS (SELECT *, sum(CASE WHEN cost > before THEN 1 ELSE 0 END) OVER (ORDER BY threshold) AS ups FROM (SELECT *, lag(cost) OVER (ORDER BY threshold) AS before FROM k))
+SELECT max(threshold)::INT AS threshold, arg_max(cost, threshold) AS cost FROM u WHERE ups = 0""")
+def threshold_sweep(spark, d):
+    h = _hashes(spark, d)
+    near = similarity.grid_pairs(h).groupBy(F.col("b.vec_id").alias("b")).agg(F.min(similarity.hamming("a", "b")).alias("dist"))
+    t = near.withColumn("threshold", F.explode(F.array(*[F.lit(8 * i) for i in range(1, 6)])))
+    cost = F.when(F.col("dist") <= F.col("threshold"), F.col("dist")).otherwise(24) + F.floor(F.col("threshold") / 8)
+    return ingest.threshold_sweep(t.groupBy("threshold").agg(F.sum(cost).cast("long").alias("cost")))
+
+
+@query("SELECT run, epoch FROM (SELECT user_id % 10 AS run, event_id AS epoch, count(*) OVER w AS n, max(value + 500) OVER w AS hi, min(value + 500) OVER w AS lo FROM events WINDOW w AS (PARTITION BY user_id % 10 ORDER BY event_id ROWS 9 PRECEDING)) WHERE n = 10 AND hi - lo < 0.05 * lo")
+def early_stop(spark, d):
+    return ingest.early_stop(T(spark, d, "events").select((F.col("user_id") % 10).alias("run"), F.col("event_id").alias("epoch"), (F.col("value") + 500).alias("loss")))
+
+
+@query("SELECT doc_id, n_chars > 0 AND NOT contains(source, '7') AS kept FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
+def failed_file_exclusion(spark, d):
+    bad = T(spark, d, "labels").where("quality = 0").select("doc_id")
+    return _docs(spark, d).join(bad, "doc_id", "left_anti").select("doc_id", ((F.col("n_chars") > 0) & ~F.col("source").contains("7")).alias("kept"))
+
+
+@query(REQS + ", a AS (SELECT repo, lag(event_id) OVER (PARTITION BY repo, uri ORDER BY event_id) IS NOT NULL AS hit FROM r) SELECT repo, count(*) AS accesses, sum(hit::INT)::BIGINT AS hits, round(sum(hit::INT)::DOUBLE / count(*), 6) AS rate FROM a GROUP BY repo")
+def cache_hit_rate(spark, d):
+    n = _reqs(spark, d).groupBy("repo", "uri").agg(F.count(F.lit(1)).alias("n"))
+    got = n.groupBy("repo").agg(F.sum("n").alias("accesses"), F.sum(F.col("n") - 1).alias("hits"))
+    return got.withColumn("rate", F.round(F.col("hits") / F.col("accesses"), 6))
+
+
 # Codec, content-defined chunks, archives ---------------------------------------------------
 
 @query()
