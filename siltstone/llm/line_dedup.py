@@ -182,7 +182,7 @@ def links(rows: DataFrame, lines: DataFrame) -> DataFrame:
     listed = lines.select("h", F.explode(F.array(*entries)).alias("x")).select("h", "x.*")
     members, at = shared.table(_shared_buckets(listed))
     paths = [at]
-    wanted = members.select("h").distinct()
+    wanted = members.select("h").distinct().hint("merge")  # the same plan at every size
     texts, at = shared.table(
         rows.select("h", "line").join(wanted, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
     )
