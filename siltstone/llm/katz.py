@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +41,7 @@ from siltstone.llm.textcodes import U64, mix, word_codes
 FOLDS, HELD_OUT = 7, 2
 #: Counts up to this one are discounted.
 K = 5
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES = 1 << 23
 PARTITION_BYTES = 1 << 25
 END = U64(0x0123456789ABCDEF)
 TAG_BYTES = 5
@@ -78,8 +79,21 @@ class Unigrams:
         return np.where(c > 0, kept, self.free)
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Bytes of an array, those of one significance together, compressed."""
+    size = values.dtype.itemsize
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, size).T
+    return zstandard.compress(planes.tobytes(), 1)
+
+
+def unpack(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def _cut(values: np.ndarray, bounds: np.ndarray) -> list[bytes]:
-    return [values[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+    return [pack(values[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
 
 
 def _part(codes: np.ndarray, parts: int) -> np.ndarray:
@@ -102,15 +116,16 @@ def blocks(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
             row = [
                 pa.array([(task << 32) | seq], pa.int64()),
                 *(
-                    pa.array([v.tobytes()], pa.binary())
+                    pa.array([pack(v)], pa.binary())
                     for v in (
                         ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), missing, fold, n,
                         local.astype(np.int32), vocab,
                     )
                 ),
+                pa.array([len(local)], pa.int64()),
             ]
             seq += 1
-            yield pa.RecordBatch.from_arrays(row, ["block", "ids", "missing", "fold", "n", "local", "vocab"])
+            yield pa.RecordBatch.from_arrays(row, ["block", "ids", "missing", "fold", "n", "local", "vocab", "tokens"])
 
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
@@ -118,7 +133,7 @@ def blocks(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
         remainder(id_col, FOLDS).cast("int").alias("fold"),
     )
     return rows.mapInArrow(
-        run, "block long, ids binary, missing binary, fold binary, n binary, local binary, vocab binary"
+        run, "block long, ids binary, missing binary, fold binary, n binary, local binary, vocab binary, tokens long"
     )
 
 
@@ -126,7 +141,7 @@ class Block:
     """One row of ``blocks``, unpacked."""
 
     def __init__(self, row: dict):
-        get = lambda name, kind: np.frombuffer(row[name], kind)
+        get = lambda name, kind: unpack(row[name], kind)
         self.block = row["block"]
         self.ids, self.missing, self.fold = get("ids", np.int64), get("missing", np.int8), get("fold", np.int8)
         self.n, self.local, self.vocab = get("n", np.int32), get("local", np.int32), get("vocab", U64)
@@ -162,6 +177,11 @@ class Requests:
         self.part, self.salted = part[self.order], self.salted[self.order]
 
 
+def _pack_tags(tags: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    low = np.ascontiguousarray(tags.view(np.uint8).reshape(-1, 8)[:, :TAG_BYTES])
+    return [low[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+
+
 def _unpack_tags(data: bytes) -> np.ndarray:
     raw = np.zeros((len(data) // TAG_BYTES, 8), np.uint8)
     raw[:, :TAG_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, TAG_BYTES)
@@ -202,8 +222,8 @@ def _of_counts(c: np.ndarray) -> list[int]:
 
 def _add_tokens(t: pa.Table) -> pa.Table:
     """One partition of the unigram table: adds up, answers each block, and one row of statistics."""
-    codes = [np.frombuffer(x.as_buffer(), U64) for x in t["codes"]]
-    counts = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in t["counts"]])
+    codes = [unpack(x.as_py(), U64) for x in t["codes"]]
+    counts = np.concatenate([unpack(x.as_py(), np.int64) for x in t["counts"]])
     n = np.array([len(c) for c in codes])
     u, inv = np.unique(np.concatenate(codes), return_inverse=True)
     total = np.zeros(len(u), np.int64)
@@ -223,7 +243,7 @@ def _add_tokens(t: pa.Table) -> pa.Table:
 
 
 def _known(row: dict) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x["known"], np.int64) for x in row["a0"]])
+    return np.concatenate([unpack(x["known"], np.int64) for x in row["a0"]])
 
 
 def _ask_bigrams(total: int, parts: int):
@@ -237,11 +257,10 @@ def _ask_bigrams(total: int, parts: int):
                 bounds = np.append(np.searchsorted(r.part, used), len(r.part))
                 head = np.flatnonzero(np.append(True, (r.h[1:] != r.h[:-1]) | (r.part[1:] != r.part[:-1])))
                 h_bounds = np.append(np.searchsorted(head, bounds[:-1]), len(head))
-                tags = r.tags.view(np.uint8).reshape(-1, 8)[:, :TAG_BYTES]
                 sizes = np.diff(np.append(head, len(r.h))).astype(np.int32)
                 cols = [
                     _cut(b.vocab[r.h[head]], h_bounds), _cut(sizes, h_bounds), _cut(r.salted[head], h_bounds),
-                    _cut(np.ascontiguousarray(tags), bounds), _cut(known[r.w], bounds), _cut(r.counts.astype(np.int32), bounds),
+                    _pack_tags(r.tags, bounds), _cut(known[r.w], bounds), _cut(r.counts.astype(np.int32), bounds),
                 ]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(used), b.block)), pa.array(used.astype(np.int32)), *(pa.array(c, pa.binary()) for c in cols)],
@@ -252,7 +271,7 @@ def _ask_bigrams(total: int, parts: int):
 
 
 def _read_bigrams(t: pa.Table):
-    get = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in t[name]]
+    get = lambda name, kind: [unpack(x.as_py(), kind) for x in t[name]]
     h = np.concatenate(get("h", U64))
     sizes = np.concatenate(get("sizes", np.int32))
     salted = np.repeat(np.concatenate(get("salted", bool)), sizes)
@@ -267,62 +286,70 @@ def _read_bigrams(t: pa.Table):
     return h[first], salted[first], cw[first], total, inv, bounds
 
 
-def _bigram_statistics(t: pa.Table) -> pa.Table:
-    """Counts of counts of one partition of the bigram table."""
-    _, _, _, total, _, _ = _read_bigrams(t)
-    return pa.table({"stats": pa.array([_of_counts(total)], pa.list_(pa.int64()))})
+def backoff(n: np.ndarray, low: np.ndarray, c: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Backoff weights of contexts, and which have no discounted bigram.
 
-
-def backoff(c: np.ndarray, reserve: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """Backoff weights from a context's count, discounted mass and mass of its followers below."""
+    ``n``: followers with counts 1..K (a row a context); ``low``: probability
+    of all followers in the lower order; ``c``: the context's count; ``d``: discounts.
+    """
+    reserve = n @ ((1 - d[1:]) * np.arange(1, K + 1))
     bare = reserve <= 0
     left = np.where(bare, 1 / (c + 1), reserve / np.maximum(c, 1))
-    return np.where(c > 0, left / np.maximum(1 - low, 1e-300), 1.0)
+    return np.where(c > 0, left / np.maximum(1 - low, 1e-300), 1.0), bare & (c > 0)
 
 
 def _add_bigrams(uni: Unigrams):
-    """One partition of the bigram table: counts, discounts and backoff weights of whole contexts."""
+    """One partition of the bigram table: adds up, and answers with counts; for a context that
+    some block met with an unseen word, with what its backoff weight is made of; and one row
+    of statistics.  What it sends of salted contexts goes to all blocks."""
 
     def run(t: pa.Table) -> pa.Table:
         h, salted, cw, total, inv, bounds = _read_bigrams(t)
         u, context = np.unique(h, return_inverse=True)
-        d = np.where(total <= K, uni.d2[np.minimum(total, K)], 1.0)
         seen = total > 0
-        add = lambda v: np.bincount(context, weights=np.where(seen, v, 0.0), minlength=len(u))
-        c, reserve, low = add(total), add((1 - d) * total), add(uni.p(cw))
-        weight = backoff(c, reserve, low)
+        n = np.zeros((len(u), K), np.int64)
+        few = seen & (total <= K)
+        np.add.at(n, (context[few], total[few] - 1), 1)
+        low = np.bincount(context, weights=np.where(seen, uni.p(cw), 0.0), minlength=len(u))
         part = np.zeros(len(u), bool)
         part[context[salted]] = True
-        weight[part] = np.nan
-        bare = (reserve <= 0) & ~part
-        coded = total.astype(np.uint32) | np.where(bare[context], BARE, np.uint32(0))
-        counts = coded[inv]
-        weights = weight[context][inv]
-        unseen = (total == 0)[inv]
-        w_bounds = np.append(0, np.cumsum(unseen))[bounds]
+        bare = (n.sum(axis=1) == 0) & ~part
+        counts = (total.astype(np.uint32) | np.where(bare[context], BARE, np.uint32(0)))[inv]
+        met = context[inv]
+        found, weights = [], []
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            found.append(pack(counts[a:b]))
+            # each context once, at its first unseen word
+            at = met[a:b][(total == 0)[inv[a:b]]]
+            at = at[np.append(True, at[1:] != at[:-1])] if len(at) else at
+            weights.append(pack(np.concatenate([n[at].astype(np.float64), low[at][:, None]], axis=1).ravel()))
         s = np.flatnonzero(part)
-        rows, more = t["block"].to_pylist(), len(s)
+        rows, p = t["block"].to_pylist(), t["p"].to_pylist()
+        more = len(s) + 1
         none = [None] * len(rows)
-        p = t["p"].to_pylist()
+        sums = [_of_counts(total), *(n[i].tolist() for i in s)]
         return pa.table(
             {
                 "block": pa.array(rows + [None] * more, pa.int64()),
                 "p": pa.array(p + [p[0]] * more, pa.int32()),
-                "found": pa.array(_cut(counts, bounds) + [None] * more, pa.binary()),
-                "weights": pa.array(_cut(weights[unseen], w_bounds) + [None] * more, pa.binary()),
-                "h": pa.array(none + u[s].view(np.int64).tolist(), pa.int64()),
-                **{k: pa.array(none + v[s].tolist(), pa.float64()) for k, v in (("c", c), ("reserve", reserve), ("low", low))},
+                "found": pa.array(found + [None] * more, pa.binary()),
+                "weights": pa.array(weights + [None] * more, pa.binary()),
+                "h": pa.array([*none, None, *u[s].view(np.int64).tolist()], pa.int64()),
+                "stats": pa.array([*none, *sums], pa.list_(pa.int64())),
+                "low": pa.array([*none, None, *low[s].tolist()], pa.float64()),
             }
         )
 
     return run
 
 
-def _score(uni: Unigrams, parts: int, hot: dict[int, tuple[float, float, float]]):
-    """Scores of the documents of each block."""
+def _score(uni: Unigrams, parts: int, hot: dict[int, tuple]):
+    """Scores of the documents of each block.  ``hot``: (followers by count, mass below) of salted contexts."""
     codes = np.array(sorted(hot), np.int64).view(U64)
     codes.sort()
-    sums = np.array([hot[int(x)] for x in codes.view(np.int64)]).reshape(-1, 3)
+    sums = [hot[int(x)] for x in codes.view(np.int64)]
+    hot_n = np.array([x[0] for x in sums], np.float64).reshape(-1, K)
+    hot_low = np.array([x[1] for x in sums], np.float64)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -330,20 +357,23 @@ def _score(uni: Unigrams, parts: int, hot: dict[int, tuple[float, float, float]]
                 row = batch.slice(i, 1).to_pylist()[0]
                 b, known = Block(row), _known(row)
                 r = Requests(b, known, uni.total, parts)
-                found = np.concatenate([np.frombuffer(x["found"], np.uint32) for x in row["a1"]])
-                got = np.concatenate([np.frombuffer(x["weights"], np.float64) for x in row["a1"]])
+                found = np.concatenate([unpack(x["found"], np.uint32) for x in row["a1"]])
+                made = np.concatenate([unpack(x["weights"], np.float64) for x in row["a1"]]).reshape(-1, K + 1)
                 count = (found & ~BARE).astype(np.int64)
                 bare = (found & BARE) > 0
+                ch = known[r.h]
                 weight = np.zeros(len(found))
-                weight[count == 0] = got
+                at = np.flatnonzero(count == 0)
+                if len(at):
+                    h, p = r.h[at], r.part[at]
+                    which = np.cumsum(np.append(True, (h[1:] != h[:-1]) | (p[1:] != p[:-1]))) - 1
+                    weight[at] = backoff(made[which, :K], made[which, K], ch[at], uni.d2)[0]
                 if len(codes):
                     at = np.minimum(np.searchsorted(codes, b.vocab[r.h]), len(codes) - 1)
                     mine = r.salted & (codes[at] == b.vocab[r.h])
                     at = at[mine]
-                    weight[mine] = backoff(sums[at, 0], sums[at, 1], sums[at, 2])
-                    bare[mine] = sums[at, 1] <= 0
+                    weight[mine], bare[mine] = backoff(hot_n[at], hot_low[at], ch[mine], uni.d2)
                 d = np.where(count <= K, uni.d2[np.minimum(count, K)], 1.0)
-                ch = known[r.h]
                 high = d * count / np.maximum(np.where(bare, ch + 1, ch), 1)
                 p = np.where(count > 0, high, weight * uni.p(known[r.w]))
                 log_p = np.empty(len(p))
@@ -372,13 +402,13 @@ def _sums(df: DataFrame, n: int) -> list[int]:
 def score(docs: DataFrame) -> DataFrame:
     """Base and Katz log10 probabilities of every text, learned from the training fold."""
     spark = docs.sparkSession
-    table, table_path = shared.table(blocks(docs))
-    size = table.agg(F.sum(F.octet_length("local")).alias("n"), F.sum(F.octet_length("vocab")).alias("v")).first()
+    table, _ = shared.table(blocks(docs))
+    size = table.agg((F.sum("tokens") * 4).alias("n"), F.sum(F.octet_length("vocab")).alias("v")).first()
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts1 = max(2 * tasks, -(-2 * (size["v"] or 0) // PARTITION_BYTES))
     parts2 = max(2 * tasks, -(-4 * (size["n"] or 0) // PARTITION_BYTES))
     asked = table.mapInArrow(_ask_tokens(parts1), "block long, p int, codes binary, counts binary")
-    tokens, tokens_path = shared.table(
+    tokens, _ = shared.table(
         asked.groupBy("p").applyInArrow(_add_tokens, "block long, p int, known binary, stats array<long>")
     )
     total, types, *ones = _sums(tokens.where("block IS NULL"), K + 3)
@@ -387,24 +417,25 @@ def score(docs: DataFrame) -> DataFrame:
     if total and free <= 0:
         free = 1 / (total + 1)
     answers = tokens.where("block IS NOT NULL").select("block", "p", "known")
-    asked, asked_path = shared.table(
-        _rows(table, [answers]).mapInArrow(
-            _ask_bigrams(total, parts2),
-            "block long, p int, h binary, sizes binary, salted binary, tags binary, cw binary, counts binary",
-        )
+    uni = Unigrams(total, types, d1, free, np.ones(K + 1))
+    asked = _rows(table, [answers]).mapInArrow(
+        _ask_bigrams(total, parts2),
+        "block long, p int, h binary, sizes binary, salted binary, tags binary, cw binary, counts binary",
     )
-    seen = asked.select("p", "h", "sizes", "salted", "tags", "cw", "counts")
-    uni = Unigrams(total, types, d1, free, discounts(_sums(seen.groupBy("p").applyInArrow(_bigram_statistics, "stats array<long>"), K + 1)))
-    shared.release(spark)
-    found, found_path = shared.table(
+    found, _ = shared.table(
         asked.groupBy("p").applyInArrow(
-            _add_bigrams(uni),
-            "block long, p int, found binary, weights binary, h long, c double, reserve double, low double",
+            _add_bigrams(uni), "block long, p int, found binary, weights binary, h long, stats array<long>, low double"
         )
     )
-    shared.drop(spark, asked_path)
-    partial = found.where("block IS NULL").groupBy("h").agg(F.sum("c"), F.sum("reserve"), F.sum("low")).collect()
-    hot = {r[0]: (r[1], r[2], r[3]) for r in partial}
+    del asked
+    shared.release(spark)
+    own = found.where("block IS NULL")
+    uni.d2 = discounts(_sums(own.where("h IS NULL"), K + 1))
+    # Salted contexts: their counts sum to the tokens at most, so they are fewer than 4 * parts2.
+    partial = own.where("h IS NOT NULL").groupBy("h").agg(
+        *[F.sum(F.col("stats")[i]).alias(f"n{i}") for i in range(K)], F.sum("low").alias("low")
+    ).collect()
+    hot = {r["h"]: ([r[f"n{i}"] for i in range(K)], r["low"]) for r in partial}
     rows = _rows(table, [answers, found.where("block IS NOT NULL").select("block", "p", "found", "weights")])
     return rows.mapInArrow(
         _score(uni, parts2, hot),
