@@ -41,7 +41,7 @@ from siltstone.llm.textcodes import U64, mix, word_codes
 FOLDS, HELD_OUT = 7, 2
 #: Counts up to this one are discounted.
 K = 5
-BLOCK_BYTES = 1 << 23
+BLOCK_BYTES = 6 << 20
 PARTITION_BYTES = 1 << 25
 END = U64(0x0123456789ABCDEF)
 TAG_BYTES = 5
@@ -83,7 +83,7 @@ def pack(values: np.ndarray) -> bytes:
     """Bytes of an array, those of one significance together, compressed."""
     size = values.dtype.itemsize
     planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, size).T
-    return zstandard.compress(planes.tobytes(), 1)
+    return zstandard.compress(planes.tobytes(), 3)
 
 
 def unpack(data: bytes, kind: type) -> np.ndarray:
@@ -92,6 +92,19 @@ def unpack(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
+def pack_sorted(codes: np.ndarray) -> bytes:
+    """Ascending codes as their differences."""
+    return pack(np.diff(codes, prepend=U64(0)))
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data, U64), dtype=U64)
+
+
+def _cut_sorted(codes: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    return [pack_sorted(codes[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+
+
 def _cut(values: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     return [pack(values[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
 
@@ -119,9 +132,10 @@ def blocks(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
                     pa.array([pack(v)], pa.binary())
                     for v in (
                         ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), missing, fold, n,
-                        local.astype(np.int32), vocab,
+                        local.astype(np.int32),
                     )
                 ),
+                pa.array([pack_sorted(vocab)], pa.binary()),
                 pa.array([len(local)], pa.int64()),
             ]
             seq += 1
@@ -144,7 +158,7 @@ class Block:
         get = lambda name, kind: unpack(row[name], kind)
         self.block = row["block"]
         self.ids, self.missing, self.fold = get("ids", np.int64), get("missing", np.int8), get("fold", np.int8)
-        self.n, self.local, self.vocab = get("n", np.int32), get("local", np.int32), get("vocab", U64)
+        self.n, self.local, self.vocab = get("n", np.int32), get("local", np.int32), unpack_sorted(row["vocab"])
         self.first = np.cumsum(self.n) - self.n
         learn = (self.fold != HELD_OUT) & (self.missing == 0)
         self.learn = np.repeat(learn, self.n)
@@ -208,7 +222,7 @@ def _ask_tokens(parts: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(len(used), b.block)), pa.array(used.astype(np.int32)),
-                        pa.array(_cut(b.vocab, bounds), pa.binary()), pa.array(_cut(b.token_counts(), bounds), pa.binary()),
+                        pa.array(_cut_sorted(b.vocab, bounds), pa.binary()), pa.array(_cut(b.token_counts(), bounds), pa.binary()),
                     ],
                     ["block", "p", "codes", "counts"],
                 )
@@ -222,7 +236,7 @@ def _of_counts(c: np.ndarray) -> list[int]:
 
 def _add_tokens(t: pa.Table) -> pa.Table:
     """One partition of the unigram table: adds up, answers each block, and one row of statistics."""
-    codes = [unpack(x.as_py(), U64) for x in t["codes"]]
+    codes = [unpack_sorted(x.as_py()) for x in t["codes"]]
     counts = np.concatenate([unpack(x.as_py(), np.int64) for x in t["counts"]])
     n = np.array([len(c) for c in codes])
     u, inv = np.unique(np.concatenate(codes), return_inverse=True)
@@ -259,7 +273,7 @@ def _ask_bigrams(total: int, parts: int):
                 h_bounds = np.append(np.searchsorted(head, bounds[:-1]), len(head))
                 sizes = np.diff(np.append(head, len(r.h))).astype(np.int32)
                 cols = [
-                    _cut(b.vocab[r.h[head]], h_bounds), _cut(sizes, h_bounds), _cut(r.salted[head], h_bounds),
+                    _cut_sorted(b.vocab[r.h[head]], h_bounds), _cut(sizes, h_bounds), _cut(r.salted[head], h_bounds),
                     _pack_tags(r.tags, bounds), _cut(known[r.w], bounds), _cut(r.counts.astype(np.int32), bounds),
                 ]
                 yield pa.RecordBatch.from_arrays(
@@ -272,7 +286,7 @@ def _ask_bigrams(total: int, parts: int):
 
 def _read_bigrams(t: pa.Table):
     get = lambda name, kind: [unpack(x.as_py(), kind) for x in t[name]]
-    h = np.concatenate(get("h", U64))
+    h = np.concatenate([unpack_sorted(x.as_py()) for x in t["h"]])
     sizes = np.concatenate(get("sizes", np.int32))
     salted = np.repeat(np.concatenate(get("salted", bool)), sizes)
     tags = np.concatenate([_unpack_tags(x.as_py()) for x in t["tags"]])
