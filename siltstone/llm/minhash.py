@@ -11,8 +11,8 @@ differs with probability 0.2, and more than RADIUS of 64 do so about once in
 Equal sets are one representative.  In each bucket of the index every member
 is first compared with the bucket's leader only, the member that shares most
 buckets with others; that is linear however large the bucket is.  Members of a bucket that are then still in different
-components are compared by signature in bounded blocks, and the pairs within
-RADIUS confirmed.  No link between different components is lost, and members
+components are compared in bounded blocks, each pair under its first common
+key only: pairs within RADIUS whose sketches allow the similarity are confirmed.  No link between different components is lost, and members
 that are connected already cost nothing.
 
 Edge cases: null, empty and wordless texts have an empty set, link with
@@ -26,7 +26,6 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +39,10 @@ CHUNKS, ERRORS = 14, 1
 RADIUS = CHUNKS * (ERRORS + 1) - 1
 #: Members of a bucket in one block of comparisons.
 BLOCK = 1024
+#: Codes in the sketch that decides which pairs are worth confirming.
+SKETCH = 256
+#: Rows of one call of the comparison, and pairs whose sketches are compared at a time.
+PART, AT_A_TIME = 4096, 2048
 
 _rng = np.random.default_rng(20240229)
 _MULTIPLY = _rng.integers(0, 1 << 63, SYMBOLS, dtype=np.int64).astype(U64) * U64(2) + U64(1)
@@ -102,8 +105,9 @@ def _keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = b.slice(at, 2048)
             sigs = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, SYMBOLS)
             ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), SYMBOLS)
+            slots = np.tile(np.arange(SYMBOLS, dtype=np.int8), len(sigs))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket_keys(sigs).ravel().view(np.int64)), pa.array(ids)], ["key", "rep"]
+                [pa.array(bucket_keys(sigs).ravel().view(np.int64)), pa.array(ids), pa.array(slots)], ["key", "rep", "slot"]
             )
 
 
@@ -121,53 +125,104 @@ def _confirm(similarity: int):
     return run
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, k: int, similarity: int) -> DataFrame:
-    """The pairs (a, b) of representatives whose full sets are similar enough.
-
-    Sets are made from the texts of the documents that are in some pair.
-    """
+def sets_of(ids: DataFrame, docs: DataFrame, k: int) -> tuple[DataFrame, str]:
+    """doc_id, codes (the full set) and low (a sketch: the top halves of its least codes) of these documents."""
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data = [shingle_set(x.as_py(), k).tobytes() for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary())], ["doc_id", "codes"])
+            codes = [shingle_set(x.as_py(), k) for x in b.column(1)]
+            low = [(c[:SKETCH] >> U64(32)).astype(np.uint32).tobytes() for c in codes]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(low, pa.binary())],
+                ["doc_id", "codes", "low"],
+            )
 
-    spark = docs.sparkSession
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = with_bytes(docs).join(wanted, "doc_id", "left_semi")
-    made, path = shared.table(texts.mapInArrow(sets, "doc_id long, codes binary"))
+    texts = with_bytes(docs).join(ids, "doc_id", "left_semi")
+    return shared.table(texts.mapInArrow(sets, "doc_id long, codes binary, low binary"))
+
+
+def confirm(pairs: DataFrame, made: DataFrame, similarity: int) -> DataFrame:
+    """The pairs (a, b) of representatives whose full sets are similar enough."""
     a = made.select(F.col("doc_id").alias("a"), F.col("codes").alias("x")).dropDuplicates(["a"])
     b = made.select(F.col("doc_id").alias("b"), F.col("codes").alias("y")).dropDuplicates(["b"])
     rows = pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y")
-    out, _ = shared.table(rows.mapInArrow(_confirm(similarity), "a long, b long"))
-    shared.drop(spark, path)
+    return shared.table(rows.mapInArrow(_confirm(similarity), "a long, b long"))[0]
+
+
+def first_slots(wrong: np.ndarray) -> np.ndarray:
+    """The first key that two signatures share, from where they differ (a row each); SYMBOLS if none."""
+    out = np.full(len(wrong), SYMBOLS)
+    for c in range(CHUNKS - 1, -1, -1):
+        lo, hi = _CUTS[c], _CUTS[c + 1]
+        part = wrong[:, lo:hi]
+        n = part.sum(axis=1)
+        out = np.where(n == 0, lo, np.where(n == 1, lo + part.argmax(axis=1), out))
+    return out
+
+
+def _may_link(i: np.ndarray, j: np.ndarray, low: np.ndarray, size: np.ndarray, similarity: int) -> np.ndarray:
+    """Which pairs of rows may reach the similarity, by their sketches.
+
+    Sketches that hold whole sets decide exactly (halved codes can only add to
+    the intersection); cut ones pass what lies within 4.5 standard deviations.
+    """
+    out = np.zeros(len(i), bool)
+    none = np.uint64(1) << np.uint64(32)  # above every halved code
+    for at in range(0, len(i), AT_A_TIME):
+        x, y = i[at : at + AT_A_TIME], j[at : at + AT_A_TIME]
+        cut = np.minimum(*(np.where(size[r] > SKETCH, low[r, -1], none) for r in (x, y)))[:, None]
+        both = np.sort(np.concatenate([low[x], low[y]], axis=1), axis=1)
+        real = (both < none) & (both <= cut)
+        equal = ((both[:, 1:] == both[:, :-1]) & real[:, 1:]).sum(axis=1) + 1
+        union = real.sum(axis=1) - equal + 1
+        least = similarity / 100
+        slack = 4.5 * np.sqrt(least * (1 - least) / np.maximum(union, 1))
+        partly = (size[x] > SKETCH) | (size[y] > SKETCH)
+        out[at : at + AT_A_TIME] = equal >= (least - np.where(partly, slack, 0.0)) * union
     return out
 
 
 def _compare(similarity: int):
-    """Pairs of one pair of blocks with different labels, sizes that allow a link and signatures within RADIUS."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("size")
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(-1, SYMBOLS)
-        rep, label, own, size = (pdf[c].to_numpy() for c in ("rep", "label", "own", "size"))
-        across = pdf["bi"].iloc[0] != pdf["bj"].iloc[0]
-        most = np.searchsorted(size, size * 100 // similarity, side="right")
-        out = []
-        for i in range(len(rep) - 1):
-            j = slice(i + 1, int(most[i]))
-            other = (label[j] != label[i]) & ((own[j] != own[i]) if across else True)
-            at = np.flatnonzero(other) + i + 1
-            if len(at):
-                at = at[(sig[at] != sig[i]).sum(axis=1) <= RADIUS]
-                out.append(np.stack([np.minimum(rep[i], rep[at]), np.maximum(rep[i], rep[at])], axis=1))
-        return pd.DataFrame(np.concatenate(out) if out else np.empty((0, 2), np.int64), columns=["a", "b"])
+    """Pairs within the blocks of a part of the buckets: different labels, sizes that allow a link,
+    signatures within RADIUS whose first common key is this bucket's, and sketches that allow a link.
+
+    Rows are sorted by block; each step takes all pairs at one distance in that
+    order, so many small buckets cost no more than a few large ones.
+    """
+
+    def run(t: pa.Table) -> pa.Table:
+        cols = {c: t[c].to_numpy() for c in ("key", "bi", "bj", "size", "rep", "label", "own", "slot")}
+        order = np.lexsort((cols["size"], cols["bj"], cols["bi"], cols["key"]))
+        key, bi, bj, size, rep, label, own, slot = (cols[c][order] for c in cols)
+        n = len(order)
+        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(-1, SYMBOLS)[order]
+        low = np.full((n, SKETCH), 1 << 32, U64)
+        for k, x in enumerate(t["low"].to_pylist()):
+            low[k, : len(x) // 4] = np.frombuffer(x, np.uint32)
+        low = low[order]
+        block = np.cumsum(np.append(True, (key[1:] != key[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])))
+        across = bi != bj
+        out, i, far = [np.empty((0, 2), np.int64)], np.arange(n), 1
+        while len(i := i[i + far < n]) and len(i := i[block[i + far] == block[i]]):
+            j = i + far
+            ok = (label[i] != label[j]) & (size[i] * 100 >= similarity * size[j]) & (~across[i] | (own[i] != own[j]))
+            x, y = i[ok], j[ok]
+            if len(x):
+                wrong = sig[x] != sig[y]
+                ok = (wrong.sum(axis=1) <= RADIUS) & (first_slots(wrong) == slot[x])
+                x, y = x[ok], y[ok]
+            if len(x):
+                ok = _may_link(x, y, low, size, similarity)
+                out.append(np.sort(np.stack([rep[x[ok]], rep[y[ok]]], axis=1), axis=1))
+            far += 1
+        pairs = np.concatenate(out)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return run
 
 
-def rest_pairs(keys: DataFrame, reps: DataFrame, labels: DataFrame, similarity: int) -> DataFrame:
-    """Pairs within RADIUS that share a bucket but not a component, of sets of sizes that may link."""
+def rest_pairs(keys: DataFrame, reps: DataFrame, made: DataFrame, labels: DataFrame, similarity: int) -> DataFrame:
+    """Pairs within RADIUS that share a bucket but not a component, and may link by their sketches."""
     held = keys.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn(
         "label", F.coalesce("label", "rep")
     )
@@ -175,15 +230,21 @@ def rest_pairs(keys: DataFrame, reps: DataFrame, labels: DataFrame, similarity:
         held.groupBy("key")
         .agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"))
         .where("lo <> hi")
-        .select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+        .select("key", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     )
-    rows = held.join(mixed, "key").join(reps.select("rep", "sig", "size"), "rep")
+    low = made.select(F.col("doc_id").alias("rep"), "low").dropDuplicates(["rep"])
+    data = reps.select("rep", "sig", "size").join(low, "rep")
+    rows = held.join(mixed.select("key", "blocks"), "key").join(data, "rep")
     own = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).cast("int")
     rows = rows.withColumn("own", own).withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)")))
     rows = rows.select(
-        "key", "rep", "label", "sig", "size", "own", F.least("own", "with").alias("bi"), F.greatest("own", "with").alias("bj")
+        "key", "slot", "rep", "label", "sig", "low", "size", "own",
+        F.least("own", "with").alias("bi"), F.greatest("own", "with").alias("bj"),
     )
-    return rows.groupBy("key", "bi", "bj").applyInPandas(_compare(similarity), "a long, b long").distinct()
+    total = mixed.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0
+    parts = max(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART))
+    part = F.pmod(F.xxhash64("key", "bi", "bj"), F.lit(parts))
+    return rows.groupBy(part.alias("part")).applyInArrow(_compare(similarity), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFrame:
@@ -200,7 +261,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFr
         .groupBy("h1", "h2")
         .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.min("n_shingles").alias("size"))
     )
-    index = reps.select("rep", "sig").mapInArrow(_keys, "key long, rep long")
+    index = reps.select("rep", "sig").mapInArrow(_keys, "key long, rep long, slot byte")
     shares = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     keys, keys_path = shared.table(index.join(shares, "key"))
     degree = keys.groupBy("rep").agg(F.sum("n").alias("degree"))
@@ -212,14 +273,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFr
         .select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b"))
         .distinct()
     )
-    links = confirm(stars, docs, k, similarity)
+    made, made_path = sets_of(keys.select(F.col("rep").alias("doc_id")).distinct(), docs, k)
+    links = confirm(stars, made, similarity)
     labels = shared.components(links)
-    more, more_path = shared.table(rest_pairs(keys.select("key", "rep"), reps, labels, similarity))
+    more, more_path = shared.table(rest_pairs(keys.select("key", "slot", "rep"), reps, made, labels, similarity))
     if more.limit(1).count():
-        rest = confirm(more.join(stars, ["a", "b"], "left_anti"), docs, k, similarity)
+        rest = confirm(more.join(stars, ["a", "b"], "left_anti"), made, similarity)
         if rest.limit(1).count():
             labels = shared.components(links.unionByName(rest))
-    shared.drop(spark, keys_path, stars_path, more_path)
+    shared.drop(spark, keys_path, stars_path, more_path, made_path)
     of_rep = reps.select("h1", "h2", "rep").join(labels, reps["rep"] == labels["node"], "left")
     of_rep = of_rep.select("h1", "h2", F.coalesce("label", "rep").alias("component"))
     mine = signed.drop("sig").join(of_rep, ["h1", "h2"], "left")
