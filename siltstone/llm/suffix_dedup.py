@@ -33,6 +33,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -123,14 +124,15 @@ def blocks(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([(task << 32) | seq], pa.int64()), pa.array([ids.to_pylist()], pa.list_(pa.int64())),
-                    pa.array([[len(x) for x in data]], pa.list_(pa.int64())), pa.array([b"".join(data)], pa.binary()),
+                    pa.array([[len(x) for x in data]], pa.list_(pa.int64())), pa.array([sum(map(len, data))], pa.int64()),
+                    pa.array([zstandard.compress(b"".join(data), 1)], pa.binary()),
                     pa.array([b"".join(cut)], pa.binary()),
                 ],
-                ["block", "ids", "sizes", "data", "sample"],
+                ["block", "ids", "sizes", "total", "data", "sample"],
             )
             seq += 1
 
-    return with_bytes(docs).mapInArrow(run, "block long, ids array<long>, sizes array<long>, data binary, sample binary")
+    return with_bytes(docs).mapInArrow(run, "block long, ids array<long>, sizes array<long>, total long, data binary, sample binary")
 
 
 def _each(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[dict, list[tuple[int | None, bytes]]]]:
@@ -138,9 +140,10 @@ def _each(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[dict, list[tuple[
     for batch in batches:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1).to_pylist()[0]
+            data = zstandard.decompress(row["data"])
             at, docs = 0, []
             for d, n in zip(row["ids"], row["sizes"]):
-                docs.append((d, row["data"][at : at + n]))
+                docs.append((d, data[at : at + n]))
                 at += n
             yield row, docs
 
@@ -244,7 +247,8 @@ def _ask_contexts(splitters: np.ndarray):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.full(len(used), row["block"])), pa.array(used.astype(np.int32)),
-                    pa.array(_cut(c.distinct, bounds), pa.binary()), pa.array(_cut(c.least, bounds), pa.binary()),
+                    pa.array([zstandard.compress(x, 3) for x in _cut(c.distinct, bounds)], pa.binary()),
+                    pa.array([zstandard.compress(x, 1) for x in _cut(c.least, bounds)], pa.binary()),
                 ],
                 ["block", "p", "rows", "least"],
             )
@@ -310,8 +314,8 @@ def repeated_windows(rows: np.ndarray, docs: np.ndarray) -> np.ndarray:
 
 def _sort_bucket(t: pa.Table) -> pa.Table:
     width = BEFORE + AFTER + 2
-    raw = [np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, width) for x in t["rows"]]
-    least = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in t["least"]])
+    raw = [np.frombuffer(zstandard.decompress(x.as_py()), np.uint8).reshape(-1, width) for x in t["rows"]]
+    least = np.concatenate([np.frombuffer(zstandard.decompress(x.as_py()), np.int64) for x in t["least"]])
     bounds = np.append(0, np.cumsum([len(x) for x in raw]))
     masks = repeated_windows(np.concatenate(raw), least)
     return pa.table({"block": t["block"], "p": t["p"], "masks": pa.array(_cut(masks, bounds), pa.binary())})
@@ -360,14 +364,16 @@ def _with(table: DataFrame, answers: list[tuple[DataFrame, str]]) -> DataFrame:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
     spark = docs.sparkSession
-    table, _ = shared.table(blocks(docs), compression="zstd")
+    table, _ = shared.table(blocks(docs))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    total = table.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    total = table.agg(F.sum("total")).first()[0] or 0
     parts = max(2 * tasks, -(-total // PARTITION_BYTES))
     asked = table.select("block", "ids", "sizes", "data").mapInArrow(
         _ask_prints(parts), "block long, p int, prints binary, several binary"
     )
     more, _ = shared.table(asked.groupBy("p").applyInArrow(_count_prints, "block long, p int, more binary, n long"))
+    del asked
+    shared.release(spark)
     held = more.agg(F.sum("n")).first()[0] or 0
     buckets = max(2 * tasks, -(-held // BUCKET))
     few = table.select("sample").orderBy(F.xxhash64("block")).limit(SAMPLE // SAMPLE_BLOCK).collect()
@@ -376,6 +382,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rows = table.select("block", "ids", "sizes", "data")
     contexts_ = _with(rows, [(more, "more")]).mapInArrow(_ask_contexts(splitters), "block long, p int, rows binary, least binary")
     masks, _ = shared.table(contexts_.groupBy("p").applyInArrow(_sort_bucket, "block long, p int, masks binary"))
+    del contexts_
+    shared.release(spark)
     return _with(rows, [(more, "more"), (masks, "masks")]).mapInArrow(
         _remove(splitters), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
