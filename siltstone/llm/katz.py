@@ -121,7 +121,11 @@ def blocks(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
         task, seq = TaskContext.get().partitionId(), 0
         for b in slices(batches, BLOCK_BYTES):
             codes = [np.append(word_codes(x.as_py()), END) for x in b.column("data")]
-            vocab, local = np.unique(np.concatenate(codes), return_inverse=True)
+            vocab, local, often = np.unique(np.concatenate(codes), return_inverse=True, return_counts=True)
+            # tokens travel as ranks by frequency, which compress better than places in the vocabulary
+            ranked = np.argsort(-often, kind="stable").astype(np.int32)
+            rank = np.empty(len(vocab), np.int32)
+            rank[ranked] = np.arange(len(vocab), dtype=np.int32)
             n = np.array([len(c) for c in codes], np.int32)
             fold = np.array([9 if x is None else x for x in b.column("fold").to_pylist()], np.int8)
             ids = b.column("doc_id")
@@ -132,14 +136,14 @@ def blocks(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
                     pa.array([pack(v)], pa.binary())
                     for v in (
                         ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), missing, fold, n,
-                        local.astype(np.int32),
+                        rank[local], np.diff(ranked, prepend=np.int32(0)),
                     )
                 ),
                 pa.array([pack_sorted(vocab)], pa.binary()),
                 pa.array([len(local)], pa.int64()),
             ]
             seq += 1
-            yield pa.RecordBatch.from_arrays(row, ["block", "ids", "missing", "fold", "n", "local", "vocab", "tokens"])
+            yield pa.RecordBatch.from_arrays(row, ["block", "ids", "missing", "fold", "n", "local", "ranked", "vocab", "tokens"])
 
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
@@ -147,7 +151,7 @@ def blocks(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
         remainder(id_col, FOLDS).cast("int").alias("fold"),
     )
     return rows.mapInArrow(
-        run, "block long, ids binary, missing binary, fold binary, n binary, local binary, vocab binary, tokens long"
+        run, "block long, ids binary, missing binary, fold binary, n binary, local binary, ranked binary, vocab binary, tokens long"
     )
 
 
@@ -158,7 +162,8 @@ class Block:
         get = lambda name, kind: unpack(row[name], kind)
         self.block = row["block"]
         self.ids, self.missing, self.fold = get("ids", np.int64), get("missing", np.int8), get("fold", np.int8)
-        self.n, self.local, self.vocab = get("n", np.int32), get("local", np.int32), unpack_sorted(row["vocab"])
+        self.n, self.vocab = get("n", np.int32), unpack_sorted(row["vocab"])
+        self.local = np.cumsum(get("ranked", np.int32), dtype=np.int32)[get("local", np.int32)]
         self.first = np.cumsum(self.n) - self.n
         learn = (self.fold != HELD_OUT) & (self.missing == 0)
         self.learn = np.repeat(learn, self.n)
@@ -186,20 +191,23 @@ class Requests:
         salts = np.maximum(1, -(-known[h] * 4 * parts // max(1, total)))
         self.salted = salts > 1
         part = (_part(b.vocab[h], parts) + (tags.astype(np.int64) % salts)) % parts
-        self.order = np.lexsort((w, h, part))
+        self.order = np.lexsort((tags, h, part))
         self.h, self.w, self.counts, self.tags = (x[self.order] for x in (h, w, counts, tags))
         self.part, self.salted = part[self.order], self.salted[self.order]
 
 
-def _pack_tags(tags: np.ndarray, bounds: np.ndarray) -> list[bytes]:
-    low = np.ascontiguousarray(tags.view(np.uint8).reshape(-1, 8)[:, :TAG_BYTES])
-    return [low[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+def _pack_tags(tags: np.ndarray, head: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """Tags ascend within a context: the first as it is, the others as differences."""
+    steps = np.diff(tags, prepend=U64(0))
+    steps[head] = tags[head]
+    return _cut(steps, bounds)
 
 
-def _unpack_tags(data: bytes) -> np.ndarray:
-    raw = np.zeros((len(data) // TAG_BYTES, 8), np.uint8)
-    raw[:, :TAG_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, TAG_BYTES)
-    return raw.view(U64).ravel()
+def _unpack_tags(parts: list[bytes], sizes: np.ndarray) -> np.ndarray:
+    steps = np.concatenate([unpack(x, U64) for x in parts])
+    head = np.cumsum(sizes) - sizes
+    run = np.cumsum(steps, dtype=U64)
+    return run - np.repeat(run[head] - steps[head], sizes)
 
 
 def _rows(table: DataFrame, answers: list[DataFrame]) -> DataFrame:
@@ -274,7 +282,7 @@ def _ask_bigrams(total: int, parts: int):
                 sizes = np.diff(np.append(head, len(r.h))).astype(np.int32)
                 cols = [
                     _cut_sorted(b.vocab[r.h[head]], h_bounds), _cut(sizes, h_bounds), _cut(r.salted[head], h_bounds),
-                    _pack_tags(r.tags, bounds), _cut(known[r.w], bounds), _cut(r.counts.astype(np.int32), bounds),
+                    _pack_tags(r.tags, head, bounds), _cut(np.where(r.counts > 0, known[r.w], 0), bounds), _cut(r.counts.astype(np.int32), bounds),
                 ]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(used), b.block)), pa.array(used.astype(np.int32)), *(pa.array(c, pa.binary()) for c in cols)],
@@ -289,15 +297,17 @@ def _read_bigrams(t: pa.Table):
     h = np.concatenate([unpack_sorted(x.as_py()) for x in t["h"]])
     sizes = np.concatenate(get("sizes", np.int32))
     salted = np.repeat(np.concatenate(get("salted", bool)), sizes)
-    tags = np.concatenate([_unpack_tags(x.as_py()) for x in t["tags"]])
+    tags = _unpack_tags(t["tags"].to_pylist(), sizes)
     counts = np.concatenate(get("counts", np.int32)).astype(np.int64)
     cw = np.concatenate(get("cw", np.int64))
     h = np.repeat(h, sizes)
     _, first, inv = np.unique(mix(h ^ mix(tags)), return_index=True, return_inverse=True)
     total = np.zeros(len(first), np.int64)
     np.add.at(total, inv, counts)
+    word = np.zeros(len(first), np.int64)  # the word's count, sent with training bigrams only
+    np.maximum.at(word, inv, cw)
     bounds = np.append(0, np.cumsum([len(x) for x in get("counts", np.int32)]))
-    return h[first], salted[first], cw[first], total, inv, bounds
+    return h[first], salted[first], word, total, inv, bounds
 
 
 def backoff(n: np.ndarray, low: np.ndarray, c: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
