@@ -109,8 +109,7 @@ class FuzzyTrie:
         for node, e in self.states[state]:
             for letter, child in self.children[node].items():
                 reach(child, e + (letter != c))
-            if node:
-                reach(node, e + 1)
+            reach(node, e + 1)
         to = self._state(reached) if reached else 0
         self.steps[state][c] = to
         return to

@@ -151,6 +151,25 @@ def test_op3_automaton():
                 assert d > toxicity.budget(term)
 
 
+def test_op3_automaton_is_complete():
+    """Letters before the first one are tried too: find() is the exact distance within the budget."""
+    trie = toxicity.FuzzyTrie([("idiot", False), ("worthless", False), ("lowe", True), ("moron", True), ("pathetic", True), ("miserable", True)])
+    assert dict(trie.find("xidiot")) == {0: 1} and dict(trie.find("qxworthless")) == {1: 2} and dict(trie.find("xmoronic")) == {3: 1}
+    rng = random.Random(12)
+    for _ in range(3000):
+        w = list(rng.choice(trie.terms)[0] + rng.choice(["", "", "x", "chen"]))
+        for _ in range(rng.randint(0, 3)):
+            k = rng.choice([0, 0, rng.randrange(len(w) + 1)])
+            w[k : k + rng.randint(0, 1)] = rng.choice(["", "q", "o", "m"])
+        w = "".join(w)
+        want = {}
+        for t, (term, stem) in enumerate(trie.terms):
+            d = min(_distance(term, w[:k]) for k in range(len(w) + 1)) if stem else _distance(term, w)
+            if d <= toxicity.budget(term):
+                want[t] = d
+        assert dict(trie.find(w)) == want, w
+
+
 def test_op3_context_and_accuracy(spark):
     rng = random.Random(6)
     vocabulary = [f"{a}{b}{c}{e}" for a in "bdfg" for b in "aeiou" for c in ("lm", "rt", "nd", "sk") for e in "ptkmnaeiou"]
