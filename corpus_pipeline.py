@@ -20,8 +20,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that repeat an earlier one within the edit threshold."""
-    return line_dedup.without_dropped(docs)
+    """Documents without the lines that repeat an earlier one, short ones exactly and others within the edit threshold."""
+    return line_dedup.without_dropped(docs, short=True)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,9 +15,12 @@ lines of one length are linked to the first, and a longer line to the ones it
 extends.  So the work stays in proportion to the lines, and no link is lost
 between classes.
 
-Only lines of MIN_CHARS characters or more take part: shorter ones are
-structure rather than content.  Of a class of linked lines the occurrence with
-the least (doc_id, line number) stays and the later ones are dropped.
+Lines of MIN_CHARS characters or more take part in the join.  With ``short``,
+as the query and the pipeline have it, shorter lines that are not blank take
+part too, by equality alone; without it they stay.  Of a class of linked lines
+the occurrence with the least (doc_id, line number) stays and the later ones
+are dropped.  Occurrences of lines with more than HEAVY of them meet their first
+by a broadcast, which has at most one row in HEAVY occurrences.
 
 Edge cases: null and empty texts have no lines to drop; rows with a null id
 are left as they are; repeated rows of a document share its occurrences and
@@ -35,6 +38,7 @@ from siltstone.llm import shared
 THRESHOLD = 1
 MIN_CHARS = 20
 HOT, WAYS = 64, 16
+HEAVY = 1000
 
 
 def _let(value: Column, body) -> Column:
@@ -94,12 +98,13 @@ def within(x: Column, y: Column, t: int = THRESHOLD) -> Column:
     return (F.abs(F.length(x) - F.length(y)) <= t) & _let(F.struct(chars(x).alias("x"), chars(y).alias("y")), match)
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
+def occurrences(docs: DataFrame, short: bool = False) -> DataFrame:
     """Every line that takes part: doc_id, line_no, its hash h and length n, and the line."""
     cut = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line_no", "line")
     )
-    return cut.where(F.length("line") >= MIN_CHARS).select(
+    long = F.length("line") >= MIN_CHARS
+    return cut.where(long | F.col("line").rlike(r"(?U)\S") if short else long).select(
         "doc_id", "line_no", F.xxhash64("line").alias("h"), F.length("line").alias("n"), "line"
     )
 
@@ -110,7 +115,7 @@ def _key(n: Column, start: Column, end: Column, line: Column) -> Column:
 
 
 def distinct_lines(rows: DataFrame) -> DataFrame:
-    """One row a line: first occurrence, number of occurrences, and its four keys."""
+    """One row a line: first occurrence, number of occurrences, and its four keys (null for short lines)."""
     line, n = F.col("line"), F.col("n")
     keys = []
     for less in (0, 1):
@@ -118,7 +123,7 @@ def distinct_lines(rows: DataFrame) -> DataFrame:
         half = F.floor(m / 2).cast("int")
         keys += [_key(m, half, m, line), _key(m, F.lit(0), half, line)]
     return (
-        rows.select("h", "n", "doc_id", "line_no", *[k.alias(f"k{i}") for i, k in enumerate(keys)])
+        rows.select("h", "n", "doc_id", "line_no", *[F.when(n >= MIN_CHARS, k).alias(f"k{i}") for i, k in enumerate(keys)])
         .groupBy("h", "n")
         .agg(
             F.min(F.struct("doc_id", "line_no")).alias("first"),
@@ -167,6 +172,7 @@ def _single(members: DataFrame, texts: DataFrame) -> DataFrame:
 def links(rows: DataFrame, lines: DataFrame) -> DataFrame:
     """Pairs (a, b) of hashes of lines within the threshold, enough to connect each class."""
     spark = rows.sparkSession
+    rows, lines = rows.where(F.col("n") >= MIN_CHARS), lines.where(F.col("n") >= MIN_CHARS)
     n, zero = F.col("n"), F.lit(0)
     entries = []
     for less in (0, 1):
@@ -213,28 +219,31 @@ def links(rows: DataFrame, lines: DataFrame) -> DataFrame:
     return out
 
 
-def dropped_lines(docs: DataFrame) -> DataFrame:
+def dropped_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     """doc_id, dropped (line numbers, from 0) and kept_in (documents with the occurrences that stay)."""
-    rows = occurrences(docs)
+    rows = occurrences(docs, short)
     lines, _ = shared.table(distinct_lines(rows))
     labels = shared.components(links(rows, lines))
     # A line with one occurrence and no link keeps it; all others are looked up.
-    several = lines.select("h", "first").join(labels.select(F.col("node").alias("h"), "label"), "h")
+    several = lines.select("h", "first", "copies").join(labels.select(F.col("node").alias("h"), "label"), "h")
     heads = several.groupBy("label").agg(F.min("first").alias("head"))
-    linked = several.join(heads, "label").select("h", "head")
+    linked = several.join(heads, "label").select("h", "head", "copies")
     alone = lines.where("copies > 1").join(labels.select(F.col("node").alias("h")), "h", "left_anti")
-    alone = alone.select("h", F.col("first").alias("head"))
+    alone = alone.select("h", F.col("first").alias("head"), "copies")
     known, _ = shared.table(linked.unionByName(alone))
-    hit = rows.select("h", "doc_id", "line_no").join(known, "h")
+    places = rows.select("h", "doc_id", "line_no")
+    heavy = F.broadcast(known.where(F.col("copies") > HEAVY).select("h", "head"))
+    few = known.where(F.col("copies") <= HEAVY).select("h", "head")
+    hit = places.join(heavy, "h", "left_anti").join(few, "h").unionByName(places.join(heavy, "h"))
     later = hit.where((F.col("doc_id") != F.col("head.doc_id")) | (F.col("line_no") != F.col("head.line_no")))
     return later.groupBy("doc_id").agg(
         F.sort_array(F.collect_set("line_no")).alias("dropped"), F.sort_array(F.collect_set("head.doc_id")).alias("kept_in")
     )
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
+def line_dedup(docs: DataFrame, short: bool = False) -> DataFrame:
     """doc_id, n_lines, n_dropped, dropped and kept_in of every document."""
-    gone = dropped_lines(docs)
+    gone = dropped_lines(docs, short)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     mine = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.when(text == "", 0).otherwise(F.size(F.split(text, "\n"))).cast("long").alias("n_lines")
@@ -246,9 +255,9 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     )
 
 
-def without_dropped(docs: DataFrame) -> DataFrame:
+def without_dropped(docs: DataFrame, short: bool = False) -> DataFrame:
     """The documents with the lines left out that ``dropped_lines`` names; all columns stay."""
-    gone = dropped_lines(docs).select(F.col("doc_id").alias("_gone_of"), F.col("dropped").alias("_gone"))
+    gone = dropped_lines(docs, short).select(F.col("doc_id").alias("_gone_of"), F.col("dropped").alias("_gone"))
     joined = docs.join(gone, docs["doc_id"] == gone["_gone_of"], "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
     text = F.when(F.col("_gone").isNull(), docs["text"]).otherwise(kept)

@@ -33,7 +33,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
+    return line_dedup.line_dedup(_table(spark, sf_dir, "documents"), short=True)
 
 
 def op5_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -267,6 +267,24 @@ def test_op4_classes(spark, monkeypatch, hot):
     assert out == {d: "\n".join(s for i, s in enumerate(x.split("\n")) if i not in want[d]) for d, x in rows}
 
 
+@pytest.mark.parametrize("heavy", [1000, 3])
+def test_op4_short_lines(spark, tmp_path, monkeypatch, heavy):
+    """Lines under MIN_CHARS go by equality in the query and the stage; blank ones stay."""
+    monkeypatch.setattr(line_dedup, "HEAVY", heavy)
+    long = "a line that is long enough for the edit join"
+    rows = [
+        (1, f"Ietzte.\n\n{long}\né"), (2, f"Ietzte.\n\n \u3000\n{long}!\nIetzte"), (3, f"x\nIetzte.\nx\n\n \u3000\né\n{long}"),
+        (4, "Ietzte.\nx\nJetzte."), (5, ""), (6, None),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {1: [], 2: [0, 3], 3: [1, 2, 5, 6], 4: [0, 1], 5: [], 6: []}
+    got = {r.doc_id: r for r in queries.op4_line_dedup(spark, str(tmp_path)).collect()}
+    assert {d: list(r.dropped) for d, r in got.items()} == want and list(got[3].kept_in) == [1, 3]
+    out = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["line_dedup"](spark, df, "").collect()}
+    assert out == {d: x and "\n".join(s for i, s in enumerate(x.split("\n")) if i not in want[d]) for d, x in rows}
+
+
 def test_op5(spark, docs, texts):
     tok = {i: [*words(x), None] for i, x in texts.items()}
     train = [i for i in tok if zlib.crc32(str(i).encode()) % 7 != 2]
