@@ -179,7 +179,7 @@ def superfeatures(docs: DataFrame, features: int = 12, groups: int = 3) -> DataF
     return f.select("doc_id", *[t.alias(f"sf{i}") for i, t in enumerate(tops)])
 
 
-def newest_earlier(sf: DataFrame, column: str) -> DataFrame:
-    """For each row the newest earlier row with the same super-feature."""
-    w = Window.partitionBy(column).orderBy("doc_id")
-    return sf.select("doc_id", F.lag("doc_id").over(w).alias("reference"))
+def newest_earlier(sf: DataFrame, *columns: str) -> DataFrame:
+    """For each row the newest earlier row with the same super-feature: the first hit in the order of ``columns``."""
+    found = [F.lag("doc_id").over(Window.partitionBy(c).orderBy("doc_id")) for c in columns]
+    return sf.select("doc_id", F.coalesce(*found).alias("reference"))

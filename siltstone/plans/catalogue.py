@@ -679,10 +679,10 @@ def rabin_chunks(spark, d):
 
 @query()
 def compress_strategy(spark, d):
-    """Totals by encoding: repeats are dup, others go against the newest earlier document of their super-feature."""
+    """Totals by encoding: repeats are dup, others go against the newest earlier document that shares a super-feature."""
     docs = _docs(spark, d).where("text IS NOT NULL").select("doc_id", "text", F.sha2("text", 256).alias("h"))
     first = docs.groupBy("h").agg(F.min("doc_id").alias("first"))
-    ref = similarity.newest_earlier(similarity.superfeatures(docs), "sf0")
+    ref = similarity.newest_earlier(similarity.superfeatures(docs), "sf0", "sf1", "sf2", "sf3")
     data = docs.select(F.col("doc_id").alias("reference"), F.col("text").cast("binary").alias("ref"))
     rows = docs.join(first, "h").join(ref, "doc_id", "left").join(data, "reference", "left")
     rows = rows.select("doc_id", F.col("text").cast("binary").alias("data"), F.col("ref").alias("reference"), (F.col("doc_id") != F.col("first")).alias("dup"))

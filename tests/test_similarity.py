@@ -1,6 +1,8 @@
 import random
 
+from siltstone.functions import chunkers
 from siltstone.operators import cachesim, cluster, similarity
+from siltstone.plans import catalogue
 
 
 def frame(spark, rows):
@@ -35,6 +37,39 @@ def test_newest_wins_ties(spark):
     assert got == {(1, 0, 1), (2, 1, 1)}
 
 
+def test_any_super_feature_finds_a_reference(spark):
+    rows = [(1, "a", "p", "u", "x"), (2, "b", "p", "v", "y"), (3, "a", "p", "w", "y"), (4, "c", "q", "v", "x"), (5, "d", "r", "t", "y"), (6, "e", "s", "z", "k")]
+    sf = spark.createDataFrame(rows, "doc_id long, sf0 string, sf1 string, sf2 string, sf3 string")
+    got = {r.doc_id: r.reference for r in similarity.newest_earlier(sf, "sf0", "sf1", "sf2", "sf3").collect()}
+    assert got == {1: None, 2: 1, 3: 1, 4: 2, 5: 3, 6: None}
+
+
+def test_compress_strategy_tries_every_super_feature(spark):
+    """The query's totals are those of a plain OR over the four super-feature tables."""
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet").where("text IS NOT NULL").select("doc_id", "text")
+    text = {r.doc_id: r.text.encode() for r in docs.collect()}
+    newest, ref, only_first = [{} for _ in range(4)], {}, 0
+    for r in sorted(similarity.superfeatures(docs).collect(), key=lambda r: r.doc_id):
+        hits = [newest[k].get(r[f"sf{k}"]) for k in range(4)]
+        ref[r.doc_id] = next((h for h in hits if h is not None), None)
+        only_first += hits[0] is None and ref[r.doc_id] is not None
+        for k in range(4):
+            newest[k][r[f"sf{k}"]] = r.doc_id
+    assert only_first
+    seen, want = set(), {}
+    for i in sorted(text):
+        options = [(len(text[i]), "raw"), (chunkers.self_size(text[i]), "self")]
+        if ref.get(i) is not None and text[ref[i]]:
+            options.append((chunkers.delta_size(text[i], text[ref[i]]), "delta"))
+        size, flag = (0, "dup") if text[i] in seen else min(options)
+        seen.add(text[i])
+        n, b, raw = want.get(flag, (0, 0, 0))
+        want[flag] = (n + 1, b + size, raw + len(text[i]))
+    got = {r.flag: (r.n, r.bytes, r.raw_bytes) for r in catalogue.queries()["compress_strategy"](spark, d).collect()}
+    assert got == want
+
+
 def test_caches():
     lru = cachesim.LRU(2)
     assert [lru.access(k) for k in "abacab"] == [False, False, True, False, True, False]
