@@ -104,8 +104,8 @@ def distances(x: Column, y: Column) -> dict[str, Column]:
     }
 
 
-def query_distances(vectors: DataFrame, every: int = 100) -> DataFrame:
-    """Distances from the query vectors (ids divisible by ``every``) to all others.
+def query_distances(vectors: DataFrame, every: int = 20, later: bool = False) -> DataFrame:
+    """Distances from the query vectors (ids divisible by ``every``) to all others, or with ``later`` to those of greater ids.
 
     The queries are dealt over blocks that meet every vector once.
     """
@@ -113,7 +113,7 @@ def query_distances(vectors: DataFrame, every: int = 100) -> DataFrame:
     blocks = 8
     q = q.withColumn("blk", F.pmod(F.xxhash64("q"), F.lit(blocks)))
     v = vectors.select("vec_id", F.col("embedding").alias("y")).withColumn("blk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    rows = q.join(v, "blk").where(F.col("q") < F.col("vec_id"))
+    rows = q.join(v, "blk").where(F.col("q") < F.col("vec_id") if later else F.col("q") != F.col("vec_id"))
     return rows.select("q", "vec_id", *[F.round(c, 4).alias(n) for n, c in distances(F.col("x"), F.col("y")).items()])
 
 

@@ -487,7 +487,7 @@ SELECT q, vec_id, round(list_sum([abs(x[i] - y[i]) FOR i IN range(1, 65)]), 4) A
 round(1 - xy / sqrt(xx * yy), 4) AS cosine, round(acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, xy / sqrt(xx * yy)))), 4) AS angle,
 round(1 - list_sum([CASE WHEN x[i] > 0 AND y[i] > 0 THEN 1 ELSE 0 END FOR i IN range(1, 65)])::DOUBLE / greatest(1, list_sum([CASE WHEN x[i] > 0 OR y[i] > 0 THEN 1 ELSE 0 END FOR i IN range(1, 65)])), 4) AS jaccard FROM m""")
 def vector_distances(spark, d):
-    return similarity.query_distances(T(spark, d, "embeddings"))
+    return similarity.query_distances(T(spark, d, "embeddings"), every=100, later=True)
 
 
 COMPONENTS = HASHES.replace("WITH h", "WITH RECURSIVE h") + """, e AS (SELECT a, b FROM p WHERE dist <= 20 UNION ALL SELECT b, a FROM p WHERE dist <= 20),

@@ -70,6 +70,15 @@ def test_compress_strategy_tries_every_super_feature(spark):
     assert got == want
 
 
+def test_query_distances_meet_every_vector(spark):
+    rng = random.Random(3)
+    v = {i: [rng.uniform(-1, 1) for _ in range(4)] for i in range(45)}
+    df = spark.createDataFrame(list(v.items()), "vec_id long, embedding array<float>")
+    got = {(r.q, r.vec_id): r.l1 for r in similarity.query_distances(df).collect()}
+    assert set(got) == {(q, i) for q in (0, 20, 40) for i in v if i != q}
+    assert all(abs(x - sum(abs(a - b) for a, b in zip(v[q], v[i]))) < 1e-3 for (q, i), x in got.items())
+
+
 def test_caches():
     lru = cachesim.LRU(2)
     assert [lru.access(k) for k in "abacab"] == [False, False, True, False, True, False]
