@@ -25,6 +25,11 @@ def valid_descriptor(digest: Column, size: Column, media_type: Column) -> Column
     return digest.rlike("^sha256:[0-9a-f]{64}$") & (size >= 0) & (media_type != "")
 
 
+def verified(digest: Column, payload: Column) -> Column:
+    """Whether a well-formed digest is that of the payload."""
+    return digest.rlike("^sha256:[0-9a-f]{64}$") & (F.substring_index(digest, ":", -1) == F.sha2(payload, 256))
+
+
 def insert_if_absent(table: DataFrame, rows: DataFrame, key: str, order: str) -> DataFrame:
     """Rows that an insert-if-absent adds: the first of each key that the table lacks."""
     new = rows.join(table.select(key).distinct(), key, "left_anti")

@@ -90,6 +90,13 @@ def replay_plan(reqs: DataFrame, known: DataFrame, clients: int) -> DataFrame:
     return global_row_number(j, "event_id").select("event_id", "verb", ((F.col("rn") - 1) % clients).alias("client"))
 
 
+def pacing(reqs: DataFrame) -> DataFrame:
+    """Microseconds that each client waits from its last request, or from the start of the trace, to its next."""
+    w = Window.partitionBy("client").orderBy("delay_us", "event_id")
+    rows = delays(reqs).join(reqs.select("event_id", "client"), "event_id")
+    return rows.select("event_id", "client", (F.col("delay_us") - F.coalesce(F.lag("delay_us").over(w), F.lit(0))).alias("wait_us"))
+
+
 def pulls(reqs: DataFrame) -> DataFrame:
     return reqs.where("method = 'GET'").groupBy("repo", "uri").agg(F.count(F.lit(1)).alias("pulls"))
 

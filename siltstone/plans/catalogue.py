@@ -2,36 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import chunkers, references
 from siltstone.operators import cachesim, cluster, dedup, ingest, placement, registry, similarity, trace
+from siltstone.plans.register import QUERIES, SQL, Query, T, query
 from siltstone.sources import archives
 from siltstone.streaming import events as ev
 
-Query = Callable[[SparkSession, str], DataFrame]
-_queries: dict[str, Query] = {}
-_sql: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a function under its name, with its SQL."""
-
-    def add(f: Query) -> Query:
-        _queries[f.__name__] = f
-        if sql:
-            _sql[f.__name__] = sql
-        return f
-
-    return add
-
-
-def T(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
 
 def _docs(spark, d):
     return T(spark, d, "documents")
@@ -287,6 +266,18 @@ def slot_simulation(spark, d):
     return trace.assign_slots(_reqs(spark, d), 4)
 
 
+@query(REQS + "SELECT repo, count(*) AS requests, true AS in_time, 4 AS slots FROM r GROUP BY repo")
+def slot_simulation_totals(spark, d):
+    """No request starts before its time, and every worker is used."""
+    r = _reqs(spark, d)
+    at = r.select("repo", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
+    got = trace.assign_slots(r, 4).join(at, "event_id")
+    return got.groupBy("repo").agg(
+        F.count(F.lit(1)).alias("requests"), F.min((F.col("start") >= F.col("t")).cast("int")).cast("boolean").alias("in_time"),
+        F.count_distinct("slot").cast("int").alias("slots"),
+    )
+
+
 # Registry ----------------------------------------------------------------------------------
 
 @query("SELECT doc_id AS digest FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -481,13 +472,13 @@ def candidate_depth_totals(spark, d):
 
 
 @query("""WITH e AS (SELECT vec_id, [x::DOUBLE FOR x IN embedding] AS v FROM embeddings),
-j AS (SELECT a.vec_id AS q, b.vec_id AS vec_id, a.v AS x, b.v AS y FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id < b.vec_id),
+j AS (SELECT a.vec_id AS q, b.vec_id AS vec_id, a.v AS x, b.v AS y FROM e a JOIN e b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
 m AS (SELECT *, list_sum([x[i] * y[i] FOR i IN range(1, 65)]) AS xy, list_sum([z * z FOR z IN x]) AS xx, list_sum([z * z FOR z IN y]) AS yy FROM j)
 SELECT q, vec_id, round(list_sum([abs(x[i] - y[i]) FOR i IN range(1, 65)]), 4) AS l1, round(sqrt(list_sum([(x[i] - y[i]) ** 2 FOR i IN range(1, 65)])), 4) AS l2,
 round(1 - xy / sqrt(xx * yy), 4) AS cosine, round(acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, xy / sqrt(xx * yy)))), 4) AS angle,
 round(1 - list_sum([CASE WHEN x[i] > 0 AND y[i] > 0 THEN 1 ELSE 0 END FOR i IN range(1, 65)])::DOUBLE / greatest(1, list_sum([CASE WHEN x[i] > 0 OR y[i] > 0 THEN 1 ELSE 0 END FOR i IN range(1, 65)])), 4) AS jaccard FROM m""")
 def vector_distances(spark, d):
-    return similarity.query_distances(T(spark, d, "embeddings"), every=100, later=True)
+    return similarity.query_distances(T(spark, d, "embeddings"))
 
 
 COMPONENTS = HASHES.replace("WITH h", "WITH RECURSIVE h") + """, e AS (SELECT a, b FROM p WHERE dist <= 20 UNION ALL SELECT b, a FROM p WHERE dist <= 20),
@@ -528,7 +519,7 @@ def cluster_medoid(spark, d):
     return similarity.medoids(h.select("vec_id", F.col("label").alias("cluster")), pairs)
 
 
-RANKED = HASHES + """, k AS (SELECT q, v, hit, row_number() OVER (PARTITION BY q ORDER BY dist, v) AS rank FROM (SELECT a AS q, b AS v, dist, (la = lb)::INT AS hit FROM p UNION ALL SELECT b, a, dist, (la = lb)::INT FROM p) WHERE q % 10 = 0),
+RANKED = HASHES + """, k AS (SELECT q, v, hit, row_number() OVER (PARTITION BY q ORDER BY dist, v) AS rank FROM (SELECT a AS q, b AS v, dist, (la = lb)::INT AS hit FROM p UNION ALL SELECT b, a, dist, (la = lb)::INT FROM p) WHERE q % 20 = 0),
 t AS (SELECT * FROM k WHERE rank <= 5)
 """
 
@@ -560,9 +551,9 @@ def superfeature_groups(spark, d):
     return sf.groupBy("sf2").agg(F.count(F.lit(1)).alias("files"), F.min("doc_id").alias("first")).where("files > 1")
 
 
-@query(SF + "SELECT doc_id, lag(doc_id) OVER (PARTITION BY sf0 ORDER BY doc_id) AS reference FROM s")
+@query(SF + "SELECT doc_id, coalesce(" + ", ".join(f"lag(doc_id) OVER (PARTITION BY sf{i} ORDER BY doc_id)" for i in range(4)) + ") AS reference FROM s")
 def superfeature_reference(spark, d):
-    return similarity.newest_earlier(similarity.superfeatures(_docs(spark, d)), "sf0")
+    return similarity.newest_earlier(similarity.superfeatures(_docs(spark, d)), "sf0", "sf1", "sf2", "sf3")
 
 
 @query()
@@ -677,6 +668,29 @@ def rabin_chunks(spark, d):
     return chunkers.chunk_table(_docs(spark, d), lambda x: chunkers.rabin_karp(x, 512, 2048))
 
 
+REBUILT = "SELECT doc_id, octet_length(encode(text))::BIGINT AS bytes, true AS gapless, count(*) AS docs FROM documents WHERE text <> '' GROUP BY ALL"
+
+
+def _rebuilt(chunks: DataFrame) -> DataFrame:
+    """Chunks of each payload put together again: their bytes, and whether each starts where the one before it ends."""
+    w = Window.partitionBy("doc_id").orderBy("ordinal")
+    rows = chunks.withColumn("due", F.coalesce(F.lag(F.col("start") + F.col("size")).over(w), F.lit(0)))
+    return rows.groupBy("doc_id").agg(
+        F.sum("size").alias("bytes"), F.min((F.col("start") == F.col("due")).cast("int")).cast("boolean").alias("gapless"),
+        F.count(F.when(F.col("ordinal") == 0, 1)).alias("docs"),
+    )
+
+
+@query(REBUILT)
+def fastcdc_rebuilt(spark, d):
+    return _rebuilt(fastcdc_chunks(spark, d))
+
+
+@query(REBUILT)
+def rabin_rebuilt(spark, d):
+    return _rebuilt(rabin_chunks(spark, d))
+
+
 @query()
 def compress_strategy(spark, d):
     """Totals by encoding: repeats are dup, others go against the newest earlier document that shares a super-feature."""
@@ -690,6 +704,19 @@ def compress_strategy(spark, d):
     return got.groupBy("flag").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.sum("raw").alias("raw_bytes"))
 
 
+@query("SELECT count(*) AS docs, sum(raw)::BIGINT AS raw_bytes, (SELECT count(*) - count(DISTINCT text) FROM documents WHERE text IS NOT NULL) AS dups FROM (SELECT octet_length(encode(text)) AS raw FROM documents WHERE text IS NOT NULL)")
+def compress_strategy_totals(spark, d):
+    """What the strategies must add up to: every payload once, and one dup for each repeat."""
+    return compress_strategy(spark, d).agg(
+        F.sum("n").alias("docs"), F.sum("raw_bytes").alias("raw_bytes"), F.coalesce(F.sum(F.when(F.col("flag") == "dup", F.col("n"))), F.lit(0)).alias("dups")
+    )
+
+
+@query("SELECT doc_id AS layer, octet_length(encode(coalesce(text, '')))::BIGINT AS size, true AS identical FROM documents")
+def token_codec_identity(spark, d):
+    return token_codec_roundtrip(spark, d).select("layer", "size", "identical")
+
+
 @query()
 def token_codec_roundtrip(spark, d):
     return archives.codec_report(archives.layers_of(_docs(spark, d)))
@@ -706,14 +733,19 @@ def gzip_tar_scan(spark, d):
     return out.select("layer", "path", "mode", "size", F.sha2("data", 256).alias("digest"))
 
 
+@query("SELECT 'doc/' || doc_id AS path, 420 AS mode, octet_length(encode(coalesce(text, '')))::BIGINT AS size, sha256(encode(coalesce(text, ''))) AS digest FROM documents")
+def gzip_tar_entries(spark, d):
+    return gzip_tar_scan(spark, d).select("path", "mode", "size", "digest")
+
+
 # Placement, caches -------------------------------------------------------------------------
 
-@query("""WITH s AS (SELECT s_name AS server, ('0x' || substr(md5(s_name || '#' || i), 1, 8))::BIGINT AS pos FROM supplier, range(0, 8) t(i) WHERE s_suppkey < 10),
+@query("""WITH s AS (SELECT s_name AS server, ('0x' || substr(md5(s_name || '#' || i), 1, 8))::BIGINT AS pos FROM supplier, range(0, 8) t(i)),
 k AS (SELECT p_partkey AS key, ('0x' || substr(md5(p_partkey::VARCHAR), 1, 8))::BIGINT AS h FROM part),
 r AS (SELECT key, arg_min(server, pos) FILTER (WHERE pos >= h) AS a, arg_min(server, pos) AS b FROM k, s GROUP BY key) SELECT key, coalesce(a, b) AS server FROM r""")
 def ring_placement(spark, d):
     keys = T(spark, d, "part").select(F.col("p_partkey").cast("string").alias("key"))
-    servers = T(spark, d, "supplier").where("s_suppkey < 10").select(F.col("s_name").alias("server"))
+    servers = T(spark, d, "supplier").select(F.col("s_name").alias("server"))
     return placement.ring_placement(keys, servers).select(F.col("key").cast("long").alias("key"), "server")
 
 
@@ -723,11 +755,25 @@ def lpt_placement(spark, d):
     return placement.least_loaded(files, [f"server{i}" for i in range(5)])
 
 
+@query("""WITH f AS (SELECT p_partkey % 50 AS layer, round(p_retailprice * 100)::BIGINT AS size FROM part)
+SELECT layer, count(*) AS files, sum(size)::BIGINT AS bytes, least(5, count(*)) AS servers, true AS even FROM f GROUP BY layer""")
+def lpt_placement_totals(spark, d):
+    """Loads of a layer's servers differ by no more than its largest file."""
+    got = lpt_placement(spark, d).groupBy("layer", "server").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b"), F.max("size").alias("m"))
+    even = (F.count(F.lit(1)) < 5) | (F.max("b") - F.min("b") <= F.max("m"))
+    return got.groupBy("layer").agg(F.sum("n").alias("files"), F.sum("b").alias("bytes"), F.count(F.lit(1)).alias("servers"), even.alias("even"))
+
+
 def _accesses(spark, d):
     return _reqs(spark, d).select((F.col("user_id") % 10).cast("string").alias("cache"), F.col("event_id").alias("seq"), F.col("uri").alias("key"))
 
 
-@query()
+LRU = REQS + """, a AS (SELECT (user_id % 10)::VARCHAR AS cache, event_id AS seq, uri, lag(event_id) OVER (PARTITION BY user_id % 10, uri ORDER BY event_id) AS prev, lead(event_id) OVER (PARTITION BY user_id % 10, uri ORDER BY event_id) AS nxt FROM r),
+x AS (SELECT n.cache, n.seq, count(m.seq) AS dd FROM a n LEFT JOIN a m ON m.cache = n.cache AND m.seq > n.prev AND m.seq < n.seq AND (m.nxt IS NULL OR m.nxt > n.seq) WHERE n.prev IS NOT NULL GROUP BY 1, 2)
+SELECT t.cache, coalesce(h, 0)::BIGINT AS hits, t.c AS accesses FROM (SELECT cache, count(*) AS c FROM a GROUP BY cache) t LEFT JOIN (SELECT cache, count(*) AS h FROM x WHERE dd < 50 GROUP BY cache) y ON t.cache = y.cache"""
+
+
+@query(LRU)
 def lru_sim(spark, d):
     return cachesim.simulate(_accesses(spark, d), "lru", 50)
 
@@ -742,9 +788,7 @@ def arc_sim(spark, d):
     return cachesim.simulate(_accesses(spark, d), "arc", 50)
 
 
-@query(REQS + """, a AS (SELECT (user_id % 10)::VARCHAR AS cache, event_id AS seq, uri, lag(event_id) OVER (PARTITION BY user_id % 10, uri ORDER BY event_id) AS prev, lead(event_id) OVER (PARTITION BY user_id % 10, uri ORDER BY event_id) AS nxt FROM r),
-x AS (SELECT n.cache, n.seq, count(m.seq) AS dd FROM a n LEFT JOIN a m ON m.cache = n.cache AND m.seq > n.prev AND m.seq < n.seq AND (m.nxt IS NULL OR m.nxt > n.seq) WHERE n.prev IS NOT NULL GROUP BY 1, 2)
-SELECT t.cache, coalesce(h, 0)::BIGINT AS hits, t.c AS accesses FROM (SELECT cache, count(*) AS c FROM a GROUP BY cache) t LEFT JOIN (SELECT cache, count(*) AS h FROM x WHERE dd < 50 GROUP BY cache) y ON t.cache = y.cache""")
+@query(LRU)
 def lru_hit_rate_exact(spark, d):
     return cachesim.exact_lru(_accesses(spark, d), 50)
 
@@ -812,8 +856,11 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_queries)
+    from siltstone.plans import features, manifests, storage  # noqa: F401  (they register theirs)
+
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
+    queries()
+    return dict(SQL)

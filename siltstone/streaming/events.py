@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,28 +63,57 @@ def first_seen(events: DataFrame, keys: list[str], late: str | None = None) -> D
 
 
 class RetryingSink:
-    """For foreachBatch: tries a write up to ``threshold`` times and counts how it went.
+    """For foreachBatch: a circuit breaker around a write.
 
-    A batch that still fails fails the query, which repeats it from its checkpoint.
+    After ``threshold`` failures in a row the breaker is open: the next try
+    waits until ``backoff`` seconds have gone since the last failure.  A success
+    closes it.  A batch that fails ``most`` times fails the query, which repeats
+    it from its checkpoint.  ``counts`` holds successes, failures, errors by kind
+    and batches that are pending.
     """
 
-    def __init__(self, write: Callable[[DataFrame], None], threshold: int = 3):
-        self.write, self.threshold = write, threshold
-        self.counts = {"success": 0, "failure": 0}
+    def __init__(self, write: Callable[[DataFrame], None], threshold: int = 3, backoff: float = 1.0, most: int = 5, clock=time.monotonic, sleep=time.sleep):
+        self.write, self.threshold, self.backoff, self.most, self.clock, self.sleep = write, threshold, backoff, most, clock, sleep
+        self.recent, self.last = 0, 0.0
+        self.counts = {"success": 0, "failure": 0, "pending": 0}
+        self.errors: dict[str, int] = {}
+
+    def open(self) -> bool:
+        """Whether the breaker holds writes back now."""
+        return self.recent >= self.threshold and self.clock() < self.last + self.backoff
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        for attempt in range(1, self.threshold + 1):
+        self.counts["pending"] += 1
+        for attempt in range(1, self.most + 1):
+            if self.open():
+                self.sleep(self.last + self.backoff - self.clock())
             try:
                 self.write(batch)
-            except Exception:
+            except Exception as e:
+                self.recent, self.last = self.recent + 1, self.clock()
                 self.counts["failure"] += 1
-                if attempt == self.threshold:
+                self.errors[type(e).__name__] = self.errors.get(type(e).__name__, 0) + 1
+                if attempt == self.most:
                     raise
             else:
+                self.recent = 0
                 self.counts["success"] += 1
+                self.counts["pending"] -= 1
                 return
 
 
+def post_envelopes(batch: DataFrame, path: str) -> None:
+    """Events of a micro-batch as JSON envelopes of up to a partition each, in a folder that a poster takes them from."""
+    rows = batch.groupBy(F.spark_partition_id().alias("p")).agg(F.collect_list(F.struct("*")).alias("events"))
+    rows.select(F.to_json(F.struct("events")).alias("value")).write.mode("append").text(path)
+
+
+def running_pulls(events: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Pulls of each repository so far, as a stream's state or of a batch."""
+    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    return rows.where(F.col("event_type").isin("view", "click")).groupBy(F.concat(F.lit("repo"), F.col("user_id") % 10).alias("repo")).agg(F.count(F.lit(1)).alias("pulls"))
+
+
 def fan_out(batch: DataFrame, batch_id: int, sinks: list[Callable[[DataFrame, int], None]]) -> None:
     """Writes one micro-batch to several sinks; the batch is computed once."""
     batch.persist()

@@ -1,7 +1,10 @@
 import random
 
+from pyspark.sql import functions as F
+
 from siltstone.functions import chunkers
-from siltstone.operators import cachesim, cluster, similarity
+from siltstone.operators import cachesim, cluster, placement, similarity, trace
+from siltstone.operators.ranking import global_row_number
 from siltstone.plans import catalogue
 
 
@@ -95,3 +98,112 @@ def test_exact_lru_is_lru(spark):
     keys = [rng.randint(0, 12) for _ in range(300)]
     rows = spark.createDataFrame([("c", i, str(k)) for i, k in enumerate(keys)], "cache string, seq long, key string")
     assert cachesim.exact_lru(rows, 5).first().hits == cachesim.simulate(rows, "lru", 5).first().hits
+
+
+def test_leader_clusters(spark):
+    rng = random.Random(5)
+    base = [rng.getrandbits(64) for _ in range(6)]
+    rows = []
+    for _ in range(150):
+        v = rng.choice(base)
+        for k in rng.sample(range(64), rng.randint(0, 9)):
+            v ^= 1 << k
+        rows.append((v & 0xFFFFFFFF, v >> 32))
+    reps, want = [], []
+    for i, (a, b) in enumerate(rows):
+        near = [((a ^ rows[r][0]).bit_count() + (b ^ rows[r][1]).bit_count(), r) for r in reps]
+        if near and min(near)[0] <= 8:
+            want.append(min(near)[1])
+        else:
+            reps.append(i)
+            want.append(i)
+    for block in (4096, 40):
+        assert {r.vec_id: r.cluster for r in cluster.leader_clusters(frame(spark, rows), 8, block).collect()} == dict(enumerate(want))
+
+
+def test_two_tiers_find_the_nearest_earlier(spark):
+    rng = random.Random(6)
+    base = rng.getrandbits(64)
+    rows = []
+    for _ in range(120):
+        v = base
+        for k in rng.sample(range(64), rng.randint(0, 8)):
+            v ^= 1 << k
+        rows.append((v & 0xFFFFFFFF, v >> 32))
+    h = frame(spark, rows).withColumn("n", F.col("vec_id") + 1)
+    got = {r.vec_id: (r.dist, r.neighbour, r.tier) for r in similarity.two_tier(h, 9, buffer=10).collect()}
+    want = {}
+    for i, (a, b) in enumerate(rows):
+        near = [((a ^ rows[j][0]).bit_count() + (b ^ rows[j][1]).bit_count(), -j) for j in range(i)]
+        if near and min(near)[0] <= 9:
+            d, j = min(near)
+            want[i] = (d, -j, "buffer" if i + j <= 10 else "index")
+    assert got == want
+
+
+def test_best_by_delta(spark):
+    rng = random.Random(7)
+    text = [bytes(rng.choices(b"abcdefgh ", k=400)) for _ in range(3)]
+    items = [(i, text[i % 3][: 300 + i] + bytes(rng.choices(b"xyz", k=20))) for i in range(9)]
+    got = {r.item_id: (r.reference, r.cost) for r in similarity.best_by_delta(spark.createDataFrame(items, "item_id long, data binary")).collect()}
+    for i, x in items:
+        own = chunkers.self_size(x)
+        best = min(((chunkers.delta_size(x, y), j) for j, y in items if j < i), default=(1 << 30, None))
+        assert got[i] == ((best[1], best[0]) if best[0] < own else (None, own))
+
+
+def test_weighted_caches():
+    rng = random.Random(8)
+    gone = []
+    for policy in cachesim.POLICIES.values():
+        sim = policy(500)
+        for _ in range(3000):
+            sim.access(rng.randint(0, 60), rng.randint(1, 90))
+        if isinstance(sim, cachesim.ARC):
+            assert sim.w["t1"] + sim.w["t2"] <= 500 and {n: sum(v.values()) for n, v in sim.lists.items()} == sim.w and sum(sim.w.values()) <= 1000
+        elif not isinstance(sim, cachesim.Tiers):
+            assert sim.used <= 500
+    lru = cachesim.LRU(2, gone.append)
+    [lru.access(k) for k in "abc"]
+    assert gone == ["a"]
+    tiers = cachesim.Tiers(8)
+    assert [tiers.access(k) for k in "abcabc"] == [False, False, False, True, True, True] and sum(tiers.hits) == 3
+
+
+def test_ring_is_the_plain_ring(spark):
+    import hashlib
+
+    at = lambda s: int(hashlib.md5(s.encode()).hexdigest()[:8], 16)
+    servers = [f"s{i}" for i in range(5)]
+    ring = sorted((at(f"{s}#{i}"), s) for s in servers for i in range(8))
+    keys = [str(i) for i in range(300)]
+    got = placement.ring_placement(spark.createDataFrame([(k,) for k in keys], "key string"), spark.createDataFrame([(s,) for s in servers], "server string"))
+    assert {r.key: r.server for r in got.collect()} == {k: next((s for p, s in ring if p >= at(k)), ring[0][1]) for k in keys}
+
+
+def test_slots_are_greedy(spark):
+    rows = [(i, "r", f"2024-01-01 00:00:{i:02d}", float(3 + i % 4)) for i in range(20)]
+    df = spark.createDataFrame(rows, "event_id long, repo string, ts string, duration double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    got = {r.event_id: r.start for r in trace.assign_slots(df, 2).collect()}
+    t0 = min(got.values())
+    free = [0.0, 0.0]
+    for i, _, _, d in rows:
+        free.sort()
+        start = max(free[0], float(i))
+        free[0] = start + d
+        assert abs(got[i] - t0 - start) < 1e-6
+
+
+def test_kmeans_report(spark):
+    rng = random.Random(9)
+    rows = [(i, [rng.gauss(10 * (i % 3), 0.1) for _ in range(4)]) for i in range(60)]
+    r = cluster.kmeans_report(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 3).first()
+    assert (r.vectors, r.clusters, r.misplaced) == (60, 3, 0)
+
+
+def test_row_numbers_at_size(spark):
+    """Exactly 1..n over many partitions, with a payload that is not part of the order."""
+    n = 1_200_000
+    df = spark.range(0, n, 1, 9).select((F.col("id") * 7919 % n).alias("key"), F.sha2(F.col("id").cast("string"), 256).alias("payload"), F.lit(1).alias("part"))
+    got = global_row_number(df, "key")
+    assert got.select("key", "rn").agg(F.count_distinct("rn"), F.min("rn"), F.max("rn"), F.sum((F.col("rn") != F.col("key") + 1).cast("long"))).first() == (n, 1, n, 0)

@@ -51,3 +51,37 @@ def test_retry_and_fan_out(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sink.counts["failure"] == 1 and sum(got) == sum(other) == rows.where("event_type <> 'error'").count()
+
+
+def test_breaker_waits_after_failures():
+    now, slept = [0.0], []
+
+    def sleep(s):
+        slept.append(s)
+        now[0] += s
+
+    left = [4]
+
+    def write(_):
+        if left[0]:
+            left[0] -= 1
+            raise OSError("away")
+
+    sink = ev.RetryingSink(write, threshold=2, backoff=10, most=9, clock=lambda: now[0], sleep=sleep)
+    sink(None, 0)
+    assert slept == [10, 10, 10] and sink.counts == {"success": 1, "failure": 4, "pending": 0} and sink.errors == {"OSError": 4}
+    assert not sink.open() and sink.recent == 0
+
+
+def test_running_pulls(spark, tmp_path):
+    rows, path = staged(spark, tmp_path)
+    run(ev.running_pulls(ev.source(spark, path, rows.schema)), "pulls", "complete", tmp_path)
+    assert sorted(map(tuple, spark.table("pulls").collect())) == sorted(map(tuple, ev.running_pulls(rows).collect()))
+
+
+def test_envelopes_are_posted(spark, tmp_path):
+    rows, _ = staged(spark, tmp_path)
+    at = str(tmp_path / "posted")
+    ev.post_envelopes(ev.envelopes(rows), at)
+    got = spark.read.json(at).select(F.explode("events").alias("e")).select("e.*")
+    assert got.count() == rows.count() and got.select("id").distinct().count() == rows.count()
