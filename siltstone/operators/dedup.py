@@ -158,11 +158,11 @@ def layer_recipe(chunks: DataFrame) -> DataFrame:
 
 
 def size_map(chunks: DataFrame, stored: DataFrame) -> DataFrame:
-    """Bytes of each layer by host as ``host=bytes`` in order of host, and the ratio of its size to the stored one."""
+    """Bytes of each layer by host as ``host=bytes`` in order of host, and its size in millionths of the stored one."""
     held = F.sort_array(F.collect_list(F.struct("host", "slice_size")))
     got = slices(chunks).groupBy("doc_id").agg(held.alias("m"), F.sum("slice_size").alias("size"))
     text = F.array_join(F.transform("m", lambda x: F.concat(x["host"], F.lit("="), x["slice_size"].cast("string"))), ",")
-    return got.join(stored, "doc_id").select("doc_id", text.alias("slice_sizes"), F.round(F.col("size") / F.col("stored"), 6).alias("compress_ratio"))
+    return got.join(stored, "doc_id").select("doc_id", text.alias("slice_sizes"), F.floor(F.col("size") * 1_000_000 / F.col("stored")).alias("compress_ppm"))
 
 
 def forward_map(chunks: DataFrame, local: str = "host0") -> DataFrame:

@@ -51,7 +51,7 @@ def rolling_superfeatures_agree(spark, d):
 
 
 @query(PIECE + HOST + """, s AS (SELECT doc_id, host, sum(size)::BIGINT AS z FROM hc GROUP BY doc_id, host)
-SELECT doc_id, string_agg(host || '=' || z, ',' ORDER BY host) AS slice_sizes, round(sum(z) / any_value(n_chars), 6) AS compress_ratio FROM s JOIN documents USING (doc_id) GROUP BY doc_id""")
+SELECT doc_id, string_agg(host || '=' || z, ',' ORDER BY host) AS slice_sizes, (sum(z)::BIGINT * 1000000 // any_value(n_chars))::BIGINT AS compress_ppm FROM s JOIN documents USING (doc_id) GROUP BY doc_id""")
 def layer_size_map(spark, d):
     """Bytes of each layer by host, and its size against the stored one."""
     docs = _docs(spark, d).select("doc_id", F.col("n_chars").alias("stored"))
