@@ -6,9 +6,11 @@ over a chunk, the chunks' pools are joined as their maximum and their mean, and
 a logistic layer turns that into one probability.  The network is fitted by
 Adam on a bounded sample of training rows.
 
-Edge cases: null and empty texts are one chunk of padding; with labels of one
-kind only, the score is constant; null ids and repeated rows each give a row;
-very long texts are worked off chunk by chunk in bounded memory.
+Edge cases: null and empty texts are one chunk of padding; without labels of
+both kinds the score is constant (0.95 if all are 1, else 0.05); null ids and
+repeated rows each give a row; an empty table gives none; very long texts are
+worked off in blocks of chunks, in training as in scoring; of equal maxima the
+first place counts; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -63,52 +65,58 @@ class ByteCNN:
             x, (n, (m - WIDTH) // STEP + 1, WIDTH * DIM), (s[0], STEP * s[1], s[2]), writeable=False
         )
 
-    def _conv(self, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = self._windows(chunks)
-        return x, np.ascontiguousarray(x).reshape(-1, WIDTH * DIM) @ self.p["w"]
+    def _conv(self, chunks: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(self._windows(chunks)).reshape(-1, WIDTH * DIM) @ self.p["w"]
 
     def pooled(self, data: bytes) -> np.ndarray:
         """Maximum and mean over all chunks of the chunks' pools."""
         chunks = _chunks(data)
-        top, total = np.zeros(FILTERS, np.float32), np.zeros(FILTERS, np.float32)
+        top, total = np.zeros(FILTERS, np.float32), np.zeros(FILTERS)
         for at in range(0, len(chunks), AT_A_TIME):
             part = chunks[at : at + AT_A_TIME]
-            _, h = self._conv(part)
-            m = np.maximum(h.reshape(len(part), -1, FILTERS).max(axis=1) + self.p["b"], 0)
+            m = np.maximum(self._conv(part).reshape(len(part), -1, FILTERS).max(axis=1) + self.p["b"], 0)
             top = np.maximum(top, m.max(axis=0))
             total += m.sum(axis=0)
-        return np.concatenate([top, total / len(chunks)])
+        return np.concatenate([top, (total / len(chunks)).astype(top.dtype)])
 
     def score(self, data: bytes) -> float:
         z = float(self.pooled(data) @ self.p["o"] + self.p["c"][0])
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
     def gradient(self, data: bytes, y: int, g: dict[str, np.ndarray]) -> float:
-        """Adds the gradient of one document's log loss; gives the loss."""
+        """Adds the gradient of one document's log loss over all its chunks; gives the loss.
+
+        The first pass keeps each chunk's maxima and their places, the second
+        goes back to the bytes at those places only.
+        """
         chunks = _chunks(data)
-        if len(chunks) > AT_A_TIME:  # training only: chunks spread evenly over a very long text
-            chunks = chunks[np.linspace(0, len(chunks) - 1, AT_A_TIME).astype(int)]
-        x, h = self._conv(chunks)
-        h = h.reshape(len(chunks), -1, FILTERS)
-        arg = h.argmax(axis=1)
-        m = np.maximum(np.take_along_axis(h, arg[:, None, :], 1)[:, 0] + self.p["b"], 0)
+        n = len(chunks)
+        m, arg = np.empty((n, FILTERS), self.p["b"].dtype), np.empty((n, FILTERS), np.int32)
+        for lo in range(0, n, AT_A_TIME):
+            part = chunks[lo : lo + AT_A_TIME]
+            h = self._conv(part).reshape(len(part), -1, FILTERS)
+            arg[lo : lo + len(part)] = a = h.argmax(axis=1)
+            m[lo : lo + len(part)] = np.maximum(np.take_along_axis(h, a[:, None, :], 1)[:, 0] + self.p["b"], 0)
         best = m.argmax(axis=0)
-        v = np.concatenate([m.max(axis=0), m.mean(axis=0)])
+        v = np.concatenate([m.max(axis=0), m.mean(axis=0, dtype=np.float64).astype(m.dtype)])
         p = 1 / (1 + np.exp(-np.clip(v @ self.p["o"] + self.p["c"][0], -30, 30)))
-        d = np.float32(p - y)
+        d = m.dtype.type(p - y)
         g["o"] += d * v
         g["c"] += d
-        dm = np.repeat(d * self.p["o"][None, FILTERS:] / len(chunks), len(chunks), 0)
-        dm[best, np.arange(FILTERS)] += d * self.p["o"][:FILTERS]
-        dm *= m > 0
-        g["b"] += dm.sum(axis=0)
-        k, f = np.nonzero(dm)
-        pos, val = arg[k, f], dm[k, f]
-        rows = x[k, pos]
-        np.add.at(g["w"].T, f, val[:, None] * rows)
-        back = (val[:, None] * self.p["w"].T[f]).reshape(len(k), WIDTH, DIM)
-        at = chunks[k[:, None], pos[:, None] * STEP + np.arange(WIDTH)]
-        np.add.at(g["e"], at, back)
+        top, mean = d * self.p["o"][:FILTERS], d * self.p["o"][FILTERS:] / n
+        for lo in range(0, n, AT_A_TIME):
+            part = chunks[lo : lo + AT_A_TIME]
+            dm = np.repeat(mean[None], len(part), 0)
+            here = (best >= lo) & (best < lo + len(part))
+            dm[best[here] - lo, np.flatnonzero(here)] += top[here]
+            dm *= m[lo : lo + len(part)] > 0
+            g["b"] += dm.sum(axis=0)
+            k, f = np.nonzero(dm)
+            val = dm[k, f]
+            at = part[k[:, None], arg[lo + k, f][:, None] * STEP + np.arange(WIDTH)]
+            rows = self.p["e"][at].reshape(len(k), WIDTH * DIM)
+            np.add.at(g["w"].T, f, val[:, None] * rows)
+            np.add.at(g["e"], at, (val[:, None] * self.p["w"].T[f]).reshape(len(k), WIDTH, DIM))
         return float(-np.log(p + 1e-7) if y else -np.log(1 - p + 1e-7))
 
 
