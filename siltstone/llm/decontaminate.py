@@ -2,23 +2,32 @@
 
 Every benchmark item of L words is compared with the windows of L words of
 every document (a shorter document is one window).  Windows and items carry
-64-bit SimHash fingerprints of their weighted 5-word shingles.  The index cuts
-fingerprints into BLOCKS blocks and lists each item under every value of a
-block with up to RADIUS // BLOCKS wrong bits, so by pigeonhole it yields every
-item within RADIUS; candidates are then verified by the exact weighted Jaccard
-similarity of their shingles, counted with multiplicity.
+128-bit SimHash fingerprints of their weighted 5-word shingles.  The index
+cuts fingerprints into BLOCKS blocks and lists each item under its value of
+every block; a window probes each block with all values of up to ERRORS wrong
+bits, so by pigeonhole it meets every item within RADIUS.  Those of the
+window's length are candidates, which are verified by the exact weighted
+Jaccard similarity of their shingles, counted with multiplicity.
+
+A window at a similarity of exactly 0.8 differs from its item in about 19 of
+128 bits (standard deviation 4), so it is beyond the radius of 31 about once
+in 500 times; windows that are more alike, far less often.
 
 A window that reaches the similarity shares at least that part of the item's
 shingles, so windows with too few benchmark shingles are passed over before
 they are fingerprinted; none of them could be verified.
 
-The benchmark is taken in blocks of at most ITEMS items, each of which is one
-pass over the documents with one broadcast of bounded size.
+The benchmark is taken in blocks of about ITEMS items or ITEM_BYTES bytes, each
+of which is one pass over the documents with one broadcast of bounded size (a
+single larger item makes a block of its own).
 
 Words are split at white space; A-Z count as a-z and ASCII punctuation is left
 out.  Edge cases: null and empty texts and items match nothing; an item of
 fewer than five words is one shingle of its own length and must occur exactly;
-repeated rows and null ids each give their own rows; empty tables give none.
+repeated rows and null ids each give their own rows, repeated items count once;
+empty tables on either side give none; very long texts are worked off whole,
+document by document; of equally similar windows the first is reported; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,15 +43,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.arrowrows import with_bytes
-from siltstone.llm.textcodes import U64, shingles, word_codes
+from siltstone.llm.textcodes import U64, mix, shingles, word_codes
 
 K = 5
 SIMILARITY = 0.8
-BLOCKS, BLOCK_BITS = 8, 8
-RADIUS = 23
-ITEMS = 10_000
+BITS, BLOCKS, ERRORS = 128, 8, 3
+BLOCK_BITS = BITS // BLOCKS
+RADIUS = BLOCKS * (ERRORS + 1) - 1
+ITEMS, ITEM_BYTES = 10_000, 16 << 20
 _DROP = string.punctuation.encode()
-_BITS = np.arange(64, dtype=U64)
+_SHIFTS = np.arange(64, dtype=U64)
+#: Windows fingerprinted at a time, and places between starts that are summed up together.
+AT_A_TIME, FAR = 1024, 64
+#: All block values with up to ERRORS bits set: what a probe differs by.
+NEAR = np.array([v for v in range(1 << BLOCK_BITS) if v.bit_count() <= ERRORS], np.int64)
 
 
 def codes(data: bytes) -> np.ndarray:
@@ -51,24 +65,32 @@ def codes(data: bytes) -> np.ndarray:
 
 def _signs(shingle_codes: np.ndarray) -> np.ndarray:
     """+1 or -1 for each shingle and bit."""
-    return (((shingle_codes[:, None] >> _BITS) & U64(1)).astype(np.int32) << 1) - 1
+    words = np.stack([shingle_codes, mix(shingle_codes + U64(0x9E3779B97F4A7C15))], axis=1)
+    bits = (words[:, :, None] >> _SHIFTS) & U64(1)
+    return (bits.astype(np.int32).reshape(len(words), BITS) << 1) - 1
 
 
 def _pack(sums: np.ndarray) -> np.ndarray:
-    return ((sums > 0).astype(U64) << _BITS).sum(axis=1, dtype=U64)
+    """Two words for each row of sums."""
+    return ((sums.reshape(-1, 2, 64) > 0).astype(U64) << _SHIFTS).sum(axis=2, dtype=U64)
 
 
-def simhash(shingle_codes: np.ndarray) -> int:
+def simhash(shingle_codes: np.ndarray) -> np.ndarray:
     """Fingerprint of a list of shingles; a shingle weighs as often as it occurs."""
-    return int(_pack(_signs(shingle_codes).sum(axis=0)[None])[0])
+    return _pack(_signs(shingle_codes).sum(axis=0)[None])[0]
 
 
-def windows_simhash(shingle_codes: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
-    """Fingerprints of the runs of ``n`` shingles from each start."""
-    lo, hi = int(starts.min()), int(starts.max()) + n
-    total = np.zeros((hi - lo + 1, 64), np.int32)
-    np.cumsum(_signs(shingle_codes[lo:hi]), axis=0, out=total[1:])
-    return _pack(total[starts - lo + n] - total[starts - lo])
+def windows_simhash(shingle_codes: np.ndarray, starts: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(start, fingerprint) of the runs of ``n`` shingles from each start, a stretch of starts at a time."""
+    for at in range(0, len(starts), AT_A_TIME):
+        part = starts[at : at + AT_A_TIME]
+        cut = np.flatnonzero(np.append(True, np.diff(part) > FAR))  # starts far apart are summed up apart
+        for a, b in zip(cut, np.append(cut[1:], len(part))):
+            run = part[a:b]
+            lo, hi = int(run[0]), int(run[-1]) + n
+            total = np.zeros((hi - lo + 1, BITS), np.int32)
+            np.cumsum(_signs(shingle_codes[lo:hi]), axis=0, out=total[1:])
+            yield from zip(run.tolist(), _pack(total[run - lo + n] - total[run - lo]))
 
 
 def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -80,40 +102,54 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 class HammingIndex:
-    """All stored fingerprints within RADIUS of a query, by blocks with enumerated errors."""
-
-    def __init__(self, prints: list[int]):
-        self.prints = np.array(prints, U64)
-        self.lists: list[dict[int, list[int]]] = [defaultdict(list) for _ in range(BLOCKS)]
-        near = [v for v in range(1 << BLOCK_BITS) if v.bit_count() <= RADIUS // BLOCKS]
-        for i, p in enumerate(prints):
-            for b in range(BLOCKS):
-                v = (p >> (b * BLOCK_BITS)) & ((1 << BLOCK_BITS) - 1)
-                for e in near:
-                    self.lists[b][v ^ e].append(i)
-
-    def within(self, p: int) -> list[int]:
-        found: set[int] = set()
-        for b in range(BLOCKS):
-            found.update(self.lists[b].get((p >> (b * BLOCK_BITS)) & ((1 << BLOCK_BITS) - 1), ()))
-        return sorted(i for i in found if (int(self.prints[i]) ^ p).bit_count() <= RADIUS)
+    """All stored fingerprints within RADIUS of a query: block values are listed once, and queries probe with errors."""
+
+    def __init__(self, prints: np.ndarray):
+        self.prints = prints.reshape(-1, 2)
+        self.lists = []
+        for values in self._blocks(self.prints).T:
+            order = np.argsort(values, kind="stable").astype(np.int32)
+            self.lists.append((np.searchsorted(values[order], np.arange((1 << BLOCK_BITS) + 1)).astype(np.int32), order))
+
+    @staticmethod
+    def _blocks(prints: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(prints).view("<u2").reshape(len(prints), BLOCKS).astype(np.int64)
+
+    def candidates(self, p: np.ndarray) -> np.ndarray:
+        """Places of stored fingerprints that share a block with ``p`` up to ERRORS bits."""
+        found = []
+        for value, (first, order) in zip(self._blocks(p[None])[0], self.lists):
+            probe = value ^ NEAR
+            lo, n = first[probe], first[probe + 1] - first[probe]
+            hit = np.flatnonzero(n)
+            if len(hit):
+                lo, n = lo[hit], n[hit]
+                found.append(order[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())])
+        return np.unique(np.concatenate(found)) if found else np.empty(0, np.int32)
+
+    def within(self, p: np.ndarray) -> np.ndarray:
+        at = self.candidates(p)
+        return at[np.bitwise_count(self.prints[at] ^ p).sum(axis=1) <= RADIUS]
 
 
 class BenchmarkIndex:
-    """Items by their length in words."""
+    """One index of all items, and the items' lengths in words."""
 
     def __init__(self, items: list[tuple[int, bytes]]):
-        by_length: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
+        self.items: list[tuple[int, np.ndarray]] = []
+        lengths, prints = [], [np.empty((0, 2), U64)]
         for item, data in items:
             words = codes(data)
             if len(words):
-                by_length[len(words)].append((item, shingles(words, K)))
-        self.lengths = {
-            n: (held, HammingIndex([simhash(s) for _, s in held])) for n, held in sorted(by_length.items())
-        }
+                s = shingles(words, K)
+                self.items.append((item, s))
+                lengths.append(len(words))
+                prints.append(simhash(s)[None])
+        self.length = np.array(lengths, np.int64)
+        self.lengths = sorted(set(lengths))
+        self.index = HammingIndex(np.concatenate(prints))
         self.known = {
-            k: np.unique(np.concatenate([s for n, (held, _) in self.lengths.items() if min(n, K) == k for _, s in held]))
-            for k in {min(n, K) for n in self.lengths}
+            k: np.unique(np.concatenate([s for n, (_, s) in zip(lengths, self.items) if min(n, K) == k])) for k in {min(n, K) for n in lengths}
         }
 
     def matches(self, data: bytes) -> list[tuple[int, int, float, int]]:
@@ -128,7 +164,7 @@ class BenchmarkIndex:
             if not hit.any():
                 continue
             seen = np.concatenate([[0], np.cumsum(hit)])
-            for n, (held, index) in self.lengths.items():
+            for n in self.lengths:
                 if min(n, K) != k:
                     continue
                 run = min(n - k + 1, len(own))
@@ -136,9 +172,11 @@ class BenchmarkIndex:
                 starts = np.flatnonzero(shared >= SIMILARITY * (n - k + 1) - 1e-9)
                 if not len(starts):
                     continue
-                for at, p in zip(starts.tolist(), windows_simhash(own, starts, run).tolist()):
-                    for i in index.within(p):
-                        item, theirs = held[i]
+                for at, p in windows_simhash(own, starts, run):
+                    for i in self.index.within(p):
+                        if self.length[i] != n:
+                            continue
+                        item, theirs = self.items[i]
                         s = weighted_jaccard(own[at : at + run], theirs)
                         if s >= SIMILARITY:
                             c, top, first = best.get(item, (0, 0.0, 0))
@@ -147,9 +185,10 @@ class BenchmarkIndex:
 
 
 def indexes(benchmark: DataFrame) -> Iterator[BenchmarkIndex]:
-    """One index for each block of at most about ITEMS items."""
+    """One index for each block of about ITEMS items or ITEM_BYTES bytes."""
     rows = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
-    blocks = max(1, -(-rows.count() // ITEMS))
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
+    blocks = max(1, -(-size["n"] // ITEMS), -(-size["b"] // ITEM_BYTES))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     for b in range(blocks):
         got = rows.where(part == b).select(F.col("item_id").cast("long"), F.col("text").cast("binary")).distinct().toArrow()

@@ -2,46 +2,12 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_own: list[str] = []
-
-
-def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (tests), a temporary folder of this process."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="siltstone"))
-    return f"file://{_own[0]}"
-
-
-def table(df: DataFrame) -> tuple[DataFrame, str]:
-    """The frame as a written table, and its path: later reads need none of the lineage."""
-    spark = df.sparkSession
-    path = f"{folder(spark).rstrip('/')}/siltstone-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    release(spark)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of frames that are no longer referenced."""
-    gc.collect()
-    spark._jvm.System.gc()
-
+from siltstone.sources.checkpoints import drop, drop_since, folder, mark, new_path, release, table
 
-def drop(spark: SparkSession, *paths: str) -> None:
-    """Deletes tables that nothing reads any more."""
-    for p in paths:
-        at = spark._jvm.org.apache.hadoop.fs.Path(p)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+__all__ = ["components", "drop", "drop_since", "folder", "mark", "new_path", "release", "table"]
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -69,11 +35,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         after = low.join(jump, "low", "left").select(
             "node", F.least("low", F.coalesce("l2", "low")).alias("label"), "old"
         )
-        after, new_path = table(after)
+        after, new_path_ = table(after, free=False)
         changed = after.where(F.col("label") != F.col("old")).limit(1).count()
         drop(spark, path)
-        labels, path = after.select("node", "label"), new_path
+        labels, path = after.select("node", "label"), new_path_
         if not changed:
             drop(spark, both_path)
+            release(spark)
             return labels
     raise RuntimeError("components did not settle")
