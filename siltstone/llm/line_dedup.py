@@ -18,14 +18,19 @@ between classes.
 Lines of MIN_CHARS characters or more take part in the join.  With ``short``,
 as the query and the pipeline have it, shorter lines that are not blank take
 part too, by equality alone; without it they stay.  Of a class of linked lines
-the occurrence with the least (doc_id, line number) stays and the later ones
-are dropped.  Occurrences of lines with more than HEAVY of them meet their first
-by a broadcast, which has at most one row in HEAVY occurrences.
+the occurrence with the least (doc_id, text, line number) stays and the later
+ones are dropped.  A line is known by 128 bits of hashes and gets a number of
+its own, by which it is linked.  Occurrences of a line meet its first one by a
+join; lines that make up more than 1 / HEAVY_SHARE of all are met by a broadcast, as
+there are fewer than HEAVY_SHARE of them.
 
 Edge cases: null and empty texts have no lines to drop; rows with a null id
 are left as they are; repeated rows of a document share its occurrences and
-are treated alike; an empty table gives no rows.  A line is known by a 64-bit
-hash and its length.
+are treated alike; rows with one id and different texts are told apart by a hash
+of the text, and are ordered by it; very long texts are split into their lines
+like others, and put together again in one pass; an empty table gives no rows;
+the operators read doc_id and text only, and ``without_dropped`` carries all
+columns in a struct, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -38,7 +43,8 @@ from siltstone.llm import shared
 THRESHOLD = 1
 MIN_CHARS = 20
 HOT, WAYS = 64, 16
-HEAVY = 1000
+#: Lines with more occurrences than HEAVY and than one in HEAVY_SHARE of all are hot.
+HEAVY, HEAVY_SHARE = 1000, 100_000
 
 
 def _let(value: Column, body) -> Column:
@@ -98,14 +104,19 @@ def within(x: Column, y: Column, t: int = THRESHOLD) -> Column:
     return (F.abs(F.length(x) - F.length(y)) <= t) & _let(F.struct(chars(x).alias("x"), chars(y).alias("y")), match)
 
 
+def _text_hash() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def occurrences(docs: DataFrame, short: bool = False) -> DataFrame:
-    """Every line that takes part: doc_id, line_no, its hash h and length n, and the line."""
+    """Every line that takes part: doc_id, t (hash of the text), line_no, 128 bits h and g of the line, its length n, and the line."""
     cut = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line_no", "line")
+        F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("t"),
+        F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line_no", "line"),
     )
     long = F.length("line") >= MIN_CHARS
     return cut.where(long | F.col("line").rlike(r"(?U)\S") if short else long).select(
-        "doc_id", "line_no", F.xxhash64("line").alias("h"), F.length("line").alias("n"), "line"
+        "doc_id", "t", "line_no", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), F.length("line").alias("n"), "line"
     )
 
 
@@ -115,7 +126,10 @@ def _key(n: Column, start: Column, end: Column, line: Column) -> Column:
 
 
 def distinct_lines(rows: DataFrame) -> DataFrame:
-    """One row a line: first occurrence, number of occurrences, and its four keys (null for short lines)."""
+    """One row a line: number, hashes, first occurrence, number of occurrences, and its four keys (null for short lines).
+
+    The numbers hold once this is written.
+    """
     line, n = F.col("line"), F.col("n")
     keys = []
     for less in (0, 1):
@@ -123,13 +137,15 @@ def distinct_lines(rows: DataFrame) -> DataFrame:
         half = F.floor(m / 2).cast("int")
         keys += [_key(m, half, m, line), _key(m, F.lit(0), half, line)]
     return (
-        rows.select("h", "n", "doc_id", "line_no", *[F.when(n >= MIN_CHARS, k).alias(f"k{i}") for i, k in enumerate(keys)])
-        .groupBy("h", "n")
+        rows.select("h", "g", "n", "doc_id", "t", "line_no", *[F.when(n >= MIN_CHARS, k).alias(f"k{i}") for i, k in enumerate(keys)])
+        .groupBy("h", "g")
         .agg(
-            F.min(F.struct("doc_id", "line_no")).alias("first"),
+            F.min("n").alias("n"),
+            F.min(F.struct("doc_id", "t", "line_no")).alias("first"),
             F.count(F.lit(1)).alias("copies"),
             *[F.min(f"k{i}").alias(f"k{i}") for i in range(4)],
         )
+        .withColumn("id", F.monotonically_increasing_id())
     )
 
 
@@ -146,11 +162,11 @@ def _shared_buckets(listed: DataFrame) -> DataFrame:
 
 def _pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
     """Verified links of the small buckets: only what lies in the window is compared."""
-    a = members.where("longer = 0").select("key", F.col("h").alias("a"), "n", "s", "e")
-    b = members.select("key", F.col("h").alias("b"), "longer")
+    a = members.where("longer = 0").select("key", F.col("id").alias("a"), "n", "s", "e")
+    b = members.select("key", F.col("id").alias("b"), "longer")
     pairs = a.join(b, "key").where("a <> b AND (longer = 1 OR a < b)")
-    pairs = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(
-        texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b"
+    pairs = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(
+        texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b"
     )
     window = lambda c, more: F.substring(F.col(c), F.col("s") + 1, F.col("e") - F.col("s") + more)
     return pairs.where(within(window("x", F.lit(0)), window("y", F.col("longer")))).select("a", "b")
@@ -158,19 +174,19 @@ def _pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _single(members: DataFrame, texts: DataFrame) -> DataFrame:
     """Links of large buckets whose window is one character of the shorter lines."""
-    rows = members.join(texts, "h").select("key", "h", "longer", F.substring("line", F.col("s") + 1, F.lit(2)).alias("c"))
+    rows = members.join(texts, "id").select("key", "id", "longer", F.substring("line", F.col("s") + 1, F.lit(2)).alias("c"))
     same = rows.where("longer = 0")
-    least = same.groupBy("key").agg(F.min("h").alias("a"))
-    stars = same.join(least, "key").where("a <> h").select("a", F.col("h").alias("b"))
-    held = same.select("key", F.left("c", F.lit(1)).alias("one"), F.col("h").alias("a"))
+    least = same.groupBy("key").agg(F.min("id").alias("a"))
+    stars = same.join(least, "key").where("a <> id").select("a", F.col("id").alias("b"))
+    held = same.select("key", F.left("c", F.lit(1)).alias("one"), F.col("id").alias("a"))
     longer = rows.where("longer = 1").select(
-        "key", F.explode(F.array_distinct(F.array(F.left("c", F.lit(1)), F.right("c", F.lit(1))))).alias("one"), F.col("h").alias("b")
+        "key", F.explode(F.array_distinct(F.array(F.left("c", F.lit(1)), F.right("c", F.lit(1))))).alias("one"), F.col("id").alias("b")
     )
     return stars.unionByName(held.join(longer, ["key", "one"]).select("a", "b"))
 
 
 def links(rows: DataFrame, lines: DataFrame) -> DataFrame:
-    """Pairs (a, b) of hashes of lines within the threshold, enough to connect each class."""
+    """Pairs (a, b) of numbers of lines within the threshold, enough to connect each class."""
     spark = rows.sparkSession
     rows, lines = rows.where(F.col("n") >= MIN_CHARS), lines.where(F.col("n") >= MIN_CHARS)
     n, zero = F.col("n"), F.lit(0)
@@ -185,13 +201,13 @@ def links(rows: DataFrame, lines: DataFrame) -> DataFrame:
                     m.cast("int").alias("n"), s.cast("int").alias("s"), e.cast("int").alias("e"),
                 )
             )
-    listed = lines.select("h", F.explode(F.array(*entries)).alias("x")).select("h", "x.*")
+    listed = lines.select("id", F.explode(F.array(*entries)).alias("x")).select("id", "x.*")
     members, at = shared.table(_shared_buckets(listed))
     paths = [at]
-    wanted = members.select("h").distinct().hint("merge")  # the same plan at every size
-    texts, at = shared.table(
-        rows.select("h", "line").join(wanted, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
-    )
+    wanted = lines.select("id", "h", "g").join(members.select("id").distinct(), "id", "left_semi")
+    # copies of a line are reduced before the exchange; the join then meets lines by the same partitioning
+    each = rows.groupBy("h", "g").agg(F.first("line").alias("line"))
+    texts, at = shared.table(each.join(wanted.hint("merge"), ["h", "g"]).select("id", "line"))
     paths.append(at)
     found = []
     while True:
@@ -203,11 +219,11 @@ def links(rows: DataFrame, lines: DataFrame) -> DataFrame:
         done, _ = shared.table(_single(hot.where("e - s <= 1"), texts))
         found.append(done)
         size = F.greatest(F.lit(1), F.ceil((F.col("e") - F.col("s")) / F.lit(WAYS))).cast("int")
-        cut = hot.where("e - s > 1").join(texts, "h").withColumn("size", size)
+        cut = hot.where("e - s > 1").join(texts, "id").withColumn("size", size)
         cut = cut.withColumn("from", F.explode(F.sequence(F.col("s"), F.col("e") - 1, F.col("size"))))
         cut = cut.withColumn("to", F.least("e", F.col("from") + F.col("size")))
         again = cut.select(
-            "h", _key(F.col("n"), F.col("from"), F.col("to"), F.col("line")).alias("key"), "longer", "n",
+            "id", _key(F.col("n"), F.col("from"), F.col("to"), F.col("line")).alias("key"), "longer", "n",
             F.col("from").alias("s"), F.col("to").alias("e"),
         ).distinct()
         members, at = shared.table(_shared_buckets(again))
@@ -220,23 +236,28 @@ def links(rows: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def dropped_lines(docs: DataFrame, short: bool = False) -> DataFrame:
-    """doc_id, dropped (line numbers, from 0) and kept_in (documents with the occurrences that stay)."""
+    """doc_id, t, dropped (line numbers, from 0) and kept_in (documents with the occurrences that stay)."""
+    spark = docs.sparkSession
+    place = shared.mark()
     rows = occurrences(docs, short)
     lines, _ = shared.table(distinct_lines(rows))
     labels = shared.components(links(rows, lines))
     # A line with one occurrence and no link keeps it; all others are looked up.
-    several = lines.select("h", "first", "copies").join(labels.select(F.col("node").alias("h"), "label"), "h")
+    several = lines.select("id", "h", "g", "first", "copies").join(labels.select(F.col("node").alias("id"), "label"), "id")
     heads = several.groupBy("label").agg(F.min("first").alias("head"))
-    linked = several.join(heads, "label").select("h", "head", "copies")
-    alone = lines.where("copies > 1").join(labels.select(F.col("node").alias("h")), "h", "left_anti")
-    alone = alone.select("h", F.col("first").alias("head"), "copies")
-    known, _ = shared.table(linked.unionByName(alone))
-    places = rows.select("h", "doc_id", "line_no")
-    heavy = F.broadcast(known.where(F.col("copies") > HEAVY).select("h", "head"))
-    few = known.where(F.col("copies") <= HEAVY).select("h", "head")
-    hit = places.join(heavy, "h", "left_anti").join(few, "h").unionByName(places.join(heavy, "h"))
-    later = hit.where((F.col("doc_id") != F.col("head.doc_id")) | (F.col("line_no") != F.col("head.line_no")))
-    return later.groupBy("doc_id").agg(
+    linked = several.join(heads, "label").select("h", "g", "head", "copies")
+    alone = lines.where("copies > 1").join(labels.select(F.col("node").alias("id")), "id", "left_anti")
+    alone = alone.select("h", "g", F.col("first").alias("head"), "copies")
+    known, known_path = shared.table(linked.unionByName(alone))
+    total = lines.agg(F.sum("copies")).first()[0] or 0
+    shared.drop_since(spark, place, known_path)
+    most = max(HEAVY, total // HEAVY_SHARE)
+    places = rows.select("h", "g", "doc_id", "t", "line_no")
+    heavy = F.broadcast(known.where(F.col("copies") > most).select("h", "g", "head"))  # fewer than HEAVY_SHARE rows
+    few = known.where(F.col("copies") <= most).select("h", "g", "head")
+    hit = places.join(heavy, ["h", "g"], "left_anti").join(few, ["h", "g"]).unionByName(places.join(heavy, ["h", "g"]))
+    later = hit.where(F.struct("doc_id", "t", "line_no") != F.col("head"))
+    return later.groupBy("doc_id", "t").agg(
         F.sort_array(F.collect_set("line_no")).alias("dropped"), F.sort_array(F.collect_set("head.doc_id")).alias("kept_in")
     )
 
@@ -246,9 +267,10 @@ def line_dedup(docs: DataFrame, short: bool = False) -> DataFrame:
     gone = dropped_lines(docs, short)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     mine = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.when(text == "", 0).otherwise(F.size(F.split(text, "\n"))).cast("long").alias("n_lines")
+        F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("t"),
+        F.when(text == "", 0).otherwise(F.size(F.split(text, "\n"))).cast("long").alias("n_lines"),
     )
-    return mine.join(gone, "doc_id", "left").select(
+    return mine.join(gone, ["doc_id", "t"], "left").select(
         "doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
         F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"),
         F.coalesce("kept_in", F.array().cast("array<bigint>")).alias("kept_in"),
@@ -257,8 +279,12 @@ def line_dedup(docs: DataFrame, short: bool = False) -> DataFrame:
 
 def without_dropped(docs: DataFrame, short: bool = False) -> DataFrame:
     """The documents with the lines left out that ``dropped_lines`` names; all columns stay."""
-    gone = dropped_lines(docs, short).select(F.col("doc_id").alias("_gone_of"), F.col("dropped").alias("_gone"))
-    joined = docs.join(gone, docs["doc_id"] == gone["_gone_of"], "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    text = F.when(F.col("_gone").isNull(), docs["text"]).otherwise(kept)
-    return joined.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns])
+    gone = dropped_lines(docs, short).select("doc_id", "t", "dropped")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("t"))
+    rows = rows.join(gone, ["doc_id", "t"], "left")
+    lines = F.split(F.col("row").getField("text").cast("string"), "\n")
+    places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("dropped"))
+    kept = F.array_join(F.transform(places, lambda i: F.get("lines", i)), "\n")
+    rows = rows.withColumn("lines", F.when(F.col("dropped").isNotNull(), lines))
+    text = F.when(F.col("dropped").isNull(), F.col("row").getField("text")).otherwise(kept)
+    return rows.select(*[(text if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns])
