@@ -8,17 +8,25 @@ have wrong, with that symbol left out.  At a similarity of 0.8 a symbol
 differs with probability 0.2, and more than RADIUS of 64 do so about once in
 10**5 pairs; links are confirmed on the full sets.
 
-Equal sets are one representative.  In each bucket of the index every member
+Equal sets are one representative with a number of its own, so rows that share
+an id but not their text are apart.  In each bucket of the index every member
 is first compared with the bucket's leader only, the member that shares most
-buckets with others; that is linear however large the bucket is.  Members of a bucket that are then still in different
-components are compared in bounded blocks, each pair under its first common
-key only: pairs within RADIUS whose sketches allow the similarity are confirmed.  No link between different components is lost, and members
-that are connected already cost nothing.
+buckets with others; that is linear however large the bucket is.  A bucket
+whose members are then still in different components is compared further: the
+members of its largest component meet the others, in blocks, and the others meet
+each other; so n members with s strays cost n * s comparisons and about
+n + s * n / BLOCK rows.  Each pair is taken under its first common key only;
+pairs within RADIUS whose sketches allow the similarity are confirmed.  No link
+between different components is lost.
 
 Edge cases: null, empty and wordless texts have an empty set, link with
 nothing and are kept; with fewer words than a shingle the whole sequence is
 one shingle; a null id links with nothing, has a null component_id and is
-kept; repeated rows share a component; an empty table gives no rows.
+kept; repeated rows share a component, and so do equal sets; rows with one id
+and different texts are judged one by one, each with the component of its own
+text; ties for a leader go to the least number; very long texts are coded in
+pieces; an empty table gives no rows; other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -80,23 +88,24 @@ def bucket_keys(signatures: np.ndarray) -> np.ndarray:
 
 
 def sign(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, size and 128-bit identity of the set, and the signature (empty for an empty set)."""
+    """doc_id, a hash of the text (which tells rows of one id apart), size and 128-bit identity of the set, and the
+    signature (empty for an empty set)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, h1, h2, sig = [], [], [], []
             for x in b.column(1):
                 codes = shingle_set(x.as_py(), k)
-                n.append(len(codes))
-                h1.append(int(mix(codes).sum(dtype=U64).astype(np.int64)))
-                h2.append(int(mix(codes * U64(3) + U64(len(codes))).sum(dtype=U64).astype(np.int64)))
+                one, two = set_identity(codes)
+                n.append(len(codes)), h1.append(one), h2.append(two)
                 sig.append(signature(codes).tobytes() if len(codes) else b"")
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), *(pa.array(v, pa.int64()) for v in (n, h1, h2)), pa.array(sig, pa.binary())],
-                ["doc_id", "n_shingles", "h1", "h2", "sig"],
+                [b.column(0), b.column(2), *(pa.array(v, pa.int64()) for v in (n, h1, h2)), pa.array(sig, pa.binary())],
+                ["doc_id", "text_hash", "n_shingles", "h1", "h2", "sig"],
             )
 
-    return with_bytes(docs).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, sig binary")
+    rows = with_bytes(docs).withColumn("text_hash", F.xxhash64("data"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, h1 long, h2 long, sig binary")
 
 
 def _keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,28 +134,41 @@ def _confirm(similarity: int):
     return run
 
 
-def sets_of(ids: DataFrame, docs: DataFrame, k: int) -> tuple[DataFrame, str]:
-    """doc_id, codes (the full set) and low (a sketch: the top halves of its least codes) of these documents."""
+def set_identity(codes: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set, as two signed longs."""
+    return int(mix(codes).sum(dtype=U64).astype(np.int64)), int(mix(codes * U64(3) + U64(len(codes))).sum(dtype=U64).astype(np.int64))
+
+
+def sets_of(reps: DataFrame, docs: DataFrame, k: int) -> tuple[DataFrame, str]:
+    """rep, codes (the full set) and low (a sketch: the top halves of its least codes), once for each of ``reps``
+    (rep, least, h1, h2), from a text of the document ``least``."""
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            codes = [shingle_set(x.as_py(), k) for x in b.column(1)]
-            low = [(c[:SKETCH] >> U64(32)).astype(np.uint32).tobytes() for c in codes]
+            rep, full, low = [], [], []
+            for r, h1, h2, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
+                codes = shingle_set(x.as_py(), k)
+                if set_identity(codes) == (h1, h2):
+                    rep.append(r)
+                    full.append(codes.tobytes())
+                    low.append((codes[:SKETCH] >> U64(32)).astype(np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(low, pa.binary())],
-                ["doc_id", "codes", "low"],
+                [pa.array(rep, pa.int64()), pa.array(full, pa.binary()), pa.array(low, pa.binary())], ["rep", "codes", "low"]
             )
 
-    texts = with_bytes(docs).join(ids, "doc_id", "left_semi")
-    return shared.table(texts.mapInArrow(sets, "doc_id long, codes binary, low binary"))
+    texts = with_bytes(docs).join(reps.select("rep", "h1", "h2", F.col("least").alias("doc_id")), "doc_id").select("rep", "h1", "h2", "data")
+    return shared.table(texts.mapInArrow(sets, "rep long, codes binary, low binary").dropDuplicates(["rep"]))
 
 
-def confirm(pairs: DataFrame, made: DataFrame, similarity: int) -> DataFrame:
-    """The pairs (a, b) of representatives whose full sets are similar enough."""
-    a = made.select(F.col("doc_id").alias("a"), F.col("codes").alias("x")).dropDuplicates(["a"])
-    b = made.select(F.col("doc_id").alias("b"), F.col("codes").alias("y")).dropDuplicates(["b"])
+def confirm(pairs: DataFrame, made: DataFrame, similarity: int) -> tuple[DataFrame, str]:
+    """The pairs (a, b) of representatives whose full sets are similar enough.
+
+    ``made`` has a row a representative, so a hub's pairs are plain join rows that may be split over tasks.
+    """
+    a = made.select(F.col("rep").alias("a"), F.col("codes").alias("x"))
+    b = made.select(F.col("rep").alias("b"), F.col("codes").alias("y"))
     rows = pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y")
-    return shared.table(rows.mapInArrow(_confirm(similarity), "a long, b long"))[0]
+    return shared.table(rows.mapInArrow(_confirm(similarity), "a long, b long"))
 
 
 def first_slots(wrong: np.ndarray) -> np.ndarray:
@@ -183,29 +205,31 @@ def _may_link(i: np.ndarray, j: np.ndarray, low: np.ndarray, size: np.ndarray, s
 
 
 def _compare(similarity: int):
-    """Pairs within the blocks of a part of the buckets: different labels, sizes that allow a link,
-    signatures within RADIUS whose first common key is this bucket's, and sketches that allow a link.
+    """Pairs within the blocks of a part of the buckets that have a row of side 0: different labels, sizes that allow
+    a link, signatures within RADIUS whose first common key is this bucket's, and sketches that allow a link.
 
-    Rows are sorted by block; each step takes all pairs at one distance in that
-    order, so many small buckets cost no more than a few large ones.
+    Rows are sorted by block, side 0 first; each step takes all pairs at one
+    distance in that order, so many small buckets cost no more than a few large ones.
     """
 
     def run(t: pa.Table) -> pa.Table:
-        cols = {c: t[c].to_numpy() for c in ("key", "bi", "bj", "size", "rep", "label", "own", "slot")}
-        order = np.lexsort((cols["size"], cols["bj"], cols["bi"], cols["key"]))
-        key, bi, bj, size, rep, label, own, slot = (cols[c][order] for c in cols)
+        cols = {c: t[c].to_numpy() for c in ("key", "kind", "bi", "bj", "side", "size", "rep", "label", "slot")}
+        order = np.lexsort((cols["rep"], cols["side"], cols["bj"], cols["bi"], cols["kind"], cols["key"]))
+        key, kind, bi, bj, side, size, rep, label, slot = (cols[c][order] for c in cols)
         n = len(order)
         sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(-1, SYMBOLS)[order]
         low = np.full((n, SKETCH), 1 << 32, U64)
         for k, x in enumerate(t["low"].to_pylist()):
             low[k, : len(x) // 4] = np.frombuffer(x, np.uint32)
         low = low[order]
-        block = np.cumsum(np.append(True, (key[1:] != key[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])))
-        across = bi != bj
-        out, i, far = [np.empty((0, 2), np.int64)], np.arange(n), 1
+        differ = (key[1:] != key[:-1]) | (kind[1:] != kind[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])
+        block = np.cumsum(np.append(True, differ))
+        inner = (kind == 1) & (bi == bj)  # a block of strays by itself
+        out, i, far = [np.empty((0, 2), np.int64)], np.flatnonzero(side == 0), 1
         while len(i := i[i + far < n]) and len(i := i[block[i + far] == block[i]]):
             j = i + far
-            ok = (label[i] != label[j]) & (size[i] * 100 >= similarity * size[j]) & (~across[i] | (own[i] != own[j]))
+            small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+            ok = (label[i] != label[j]) & (small * 100 >= similarity * large) & (inner[i] | (side[j] == 1))
             x, y = i[ok], j[ok]
             if len(x):
                 wrong = sig[x] != sig[y]
@@ -221,30 +245,46 @@ def _compare(similarity: int):
     return run
 
 
-def rest_pairs(keys: DataFrame, reps: DataFrame, made: DataFrame, labels: DataFrame, similarity: int) -> DataFrame:
-    """Pairs within RADIUS that share a bucket but not a component, and may link by their sketches."""
+def block_rows(keys: DataFrame, labels: DataFrame) -> DataFrame:
+    """Which blocks each member of a bucket with several components goes to: key, slot, rep, label, kind, bi, bj, side.
+
+    The largest component of a bucket (ties: the least label) has m members,
+    the s others are strays.  Kind 0 blocks pair a block of strays (side 0)
+    with a block of the largest component (side 1), kind 1 blocks two blocks of strays.
+    """
     held = keys.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn(
         "label", F.coalesce("label", "rep")
     )
-    mixed = (
-        held.groupBy("key")
-        .agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"))
-        .where("lo <> hi")
-        .select("key", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    )
-    low = made.select(F.col("doc_id").alias("rep"), "low").dropDuplicates(["rep"])
-    data = reps.select("rep", "sig", "size").join(low, "rep")
-    rows = held.join(mixed.select("key", "blocks"), "key").join(data, "rep")
-    own = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).cast("int")
-    rows = rows.withColumn("own", own).withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rows = rows.select(
-        "key", "slot", "rep", "label", "sig", "low", "size", "own",
-        F.least("own", "with").alias("bi"), F.greatest("own", "with").alias("bj"),
+    parts = held.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
+    top = F.max(F.struct("m", (-F.col("label")).alias("less")))
+    mixed = parts.groupBy("key").agg(top.alias("top"), F.sum("m").alias("n"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    mixed = mixed.select(
+        "key", (-F.col("top.less")).alias("main"), F.ceil((F.col("n") - F.col("top.m")) / BLOCK).cast("int").alias("s"),
+        F.ceil(F.col("top.m") / BLOCK).cast("int").alias("b"),
     )
-    total = mixed.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0
-    parts = max(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART))
-    part = F.pmod(F.xxhash64("key", "bi", "bj"), F.lit(parts))
-    return rows.groupBy(part.alias("part")).applyInArrow(_compare(similarity), "a long, b long").distinct()
+    rows = held.join(mixed, "key")
+    stray = F.col("label") != F.col("main")
+    own = F.pmod(F.xxhash64("rep", F.lit(1)), F.when(stray, F.col("s")).otherwise(F.col("b"))).cast("int")
+    rows = rows.withColumn("stray", stray).withColumn("own", own)
+    entry = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("bi"), j.cast("int").alias("bj"), side.cast("int").alias("side"))
+    me, zero, one = F.col("own"), F.lit(0), F.lit(1)
+    meets_main = F.transform(F.sequence(zero, F.col("b") - 1), lambda j: entry(0, me, j, zero))
+    meets_strays = F.transform(F.sequence(zero, F.col("s") - 1), lambda j: entry(1, F.least(me, j), F.greatest(me, j), F.when(me <= j, zero).otherwise(one)))
+    main = F.transform(F.sequence(zero, F.col("s") - 1), lambda i: entry(0, i, me, one))
+    goes = F.when(F.col("stray"), F.concat(meets_main, meets_strays)).otherwise(main)
+    return rows.select("key", "slot", "rep", "label", F.explode(goes).alias("to")).select("key", "slot", "rep", "label", "to.*")
+
+
+def rest_pairs(keys: DataFrame, reps: DataFrame, made: DataFrame, labels: DataFrame, similarity: int) -> DataFrame:
+    """Pairs within RADIUS that share a bucket but not a component, and may link by their sketches."""
+    spark = keys.sparkSession
+    blocks, path = shared.table(block_rows(keys, labels))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-blocks.count() // PART))
+    rows = blocks.join(reps.select("rep", "sig", "size").join(made.select("rep", "low"), "rep"), "rep")
+    part = F.pmod(F.xxhash64("key", "kind", "bi", "bj"), F.lit(parts))
+    pairs, _ = shared.table(rows.groupBy(part.alias("part")).applyInArrow(_compare(similarity), "a long, b long").distinct())
+    shared.drop(spark, path)
+    return pairs
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFrame:
@@ -254,38 +294,55 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFr
     similarity of linked sets in hundredths.  Components do not depend on the
     order of the rows.
     """
+    return components_of(docs, k, similarity).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def without_duplicates(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFrame:
+    """The rows that are kept, with all columns; rows of one id are judged by their texts."""
+    gone = components_of(docs, k, similarity).where("NOT kept").select("doc_id", "text_hash").distinct()
+    data = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(data).alias("text_hash"))
+    return rows.join(gone, ["doc_id", "text_hash"], "left_anti").select("row.*")
+
+
+def components_of(docs: DataFrame, k: int, similarity: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id and kept of every row."""
     spark = docs.sparkSession
-    signed, _ = shared.table(sign(docs, k))
-    reps, reps_path = shared.table(
+    place = shared.mark()
+    signed, signed_path = shared.table(sign(docs, k))
+    reps, _ = shared.table(
         signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
         .groupBy("h1", "h2")
-        .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.min("n_shingles").alias("size"))
+        .agg(F.min("doc_id").alias("least"), F.first("sig").alias("sig"), F.min("n_shingles").alias("size"))
+        .withColumn("rep", F.monotonically_increasing_id())
     )
     index = reps.select("rep", "sig").mapInArrow(_keys, "key long, rep long, slot byte")
     shares = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    keys, keys_path = shared.table(index.join(shares, "key"))
+    keys, _ = shared.table(index.join(shares, "key"))
     degree = keys.groupBy("rep").agg(F.sum("n").alias("degree"))
     best = F.max(F.struct("degree", (-F.col("rep")).alias("less")))
     leaders = keys.join(degree, "rep").groupBy("key").agg((-best["less"]).alias("leader"))
-    stars, stars_path = shared.table(
+    stars, _ = shared.table(
         keys.join(leaders, "key")
         .where("rep <> leader")
         .select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b"))
         .distinct()
     )
-    made, made_path = sets_of(keys.select(F.col("rep").alias("doc_id")).distinct(), docs, k)
-    links = confirm(stars, made, similarity)
+    wanted = reps.join(keys.select("rep").distinct(), "rep", "left_semi").select("rep", "least", "h1", "h2")
+    made, _ = sets_of(wanted, docs, k)
+    links, _ = confirm(stars, made, similarity)
     labels = shared.components(links)
-    more, more_path = shared.table(rest_pairs(keys.select("key", "slot", "rep"), reps, made, labels, similarity))
+    more = rest_pairs(keys.select("key", "slot", "rep"), reps, made, labels, similarity)
     if more.limit(1).count():
-        rest = confirm(more.join(stars, ["a", "b"], "left_anti"), made, similarity)
+        rest, _ = confirm(more.join(stars, ["a", "b"], "left_anti"), made, similarity)
         if rest.limit(1).count():
             labels = shared.components(links.unionByName(rest))
-    shared.drop(spark, keys_path, stars_path, more_path, made_path)
-    of_rep = reps.select("h1", "h2", "rep").join(labels, reps["rep"] == labels["node"], "left")
-    of_rep = of_rep.select("h1", "h2", F.coalesce("label", "rep").alias("component"))
-    mine = signed.drop("sig").join(of_rep, ["h1", "h2"], "left")
+    numbered = reps.select("h1", "h2", "rep", "least").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    numbered = numbered.withColumn("label", F.coalesce("label", "rep"))
+    least = numbered.groupBy("label").agg(F.min("least").alias("component"))
+    of_set, of_set_path = shared.table(numbered.join(least, "label").select("h1", "h2", "component"))
+    shared.drop_since(spark, place, signed_path, of_set_path)
+    mine = signed.drop("sig").join(of_set, ["h1", "h2"], "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
-    return mine.select(
-        "doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept")
-    )
+    kept = F.coalesce(F.col("doc_id") == own, F.lit(True))
+    return mine.select("doc_id", "text_hash", "n_shingles", own.alias("component_id"), kept.alias("kept"))
