@@ -1,15 +1,20 @@
 """Secret scans over an incremental ledger of blobs.
 
 Every version of a text is addressed by the SHA-256 of its bytes.  The ledger
-says which (blob, rule version) pairs have been scanned and what was found; a
-scan takes only pairs that it lacks, one copy of each blob, and the findings
-are joined back to all paths (documents) that hold the blob.  Hot blobs are
-reduced map-side before the shuffle, and the join back is an ordinary equi-join
-whose hot keys adaptive execution may split.
+is a table with one row for each (blob, rule version) pair that has been
+scanned and what was found; an update scans only pairs that it lacks, one copy
+of each blob, and the findings are joined back to all paths (documents) that
+hold the blob.  Copies are reduced map-side before the exchange by address, and
+the ledger is met on the same partitioning, so a text travels once at most.
+
+Updates only ever add files.  Two that run at once may both scan a blob; as a
+scan depends on the blob and the rules alone their rows are equal, and reading
+the ledger keeps one of them.
 
 Edge cases: a null text is the empty blob, with no findings; repeated rows and
-null ids each give a row; an empty table gives no rows; text that is not UTF-8
-is read with replacement characters; other columns are ignored.
+null ids each give a row; an empty table gives no rows; very long texts are
+scanned whole, one at a time; of matches that start at one place the kind
+listed first comes first; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,9 +24,11 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.sources.checkpoints import exists
+
 RULE_VERSION = 1
 KINDS = ("assign", "access", "hex", "github", "jwt", "pem")
 BASE_KINDS = KINDS[:3]
@@ -83,30 +90,32 @@ def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None, rule_version:
     """Ledger rows for the (blob, rule version) pairs that ``ledger`` lacks."""
     data = F.coalesce(F.col("text").cast("string"), F.lit(""))
     blobs = docs.select(F.unhex(F.sha2(data, 256)).alias("blob"), data.alias("t"))
+    one = blobs.groupBy("blob").agg(F.first("t").cast("binary").alias("data"))
     if ledger is not None:
         seen = ledger.where(F.col("rule_version") == rule_version).select("blob")
-        blobs = blobs.join(seen, "blob", "left_anti")
-    one = blobs.groupBy("blob").agg(F.first("t").cast("binary").alias("data"))
+        one = one.join(seen, "blob", "left_anti")
     return one.mapInArrow(_scan, f"blob binary, {FINDINGS}").withColumn("rule_version", F.lit(rule_version))
 
 
 def attach(docs: DataFrame, ledger: DataFrame, rule_version: int = RULE_VERSION) -> DataFrame:
     """Findings of the ledger for every path."""
     found = ledger.where(F.col("rule_version") == rule_version).drop("rule_version")
-    return paths(docs).join(found, "blob").drop("blob")
+    return paths(docs).join(found, "blob").select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger at ``path`` with one row a key; None if there is none yet."""
+    if not exists(spark, path):
+        return None
+    return spark.read.schema(f"blob binary, {FINDINGS}, rule_version int").parquet(path).dropDuplicates(["blob", "rule_version"])
 
 
-def secret_scan(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """Findings of every document; blobs that the ledger knows are not scanned again."""
-    new = scan_unseen(docs, ledger)
-    full = new if ledger is None else ledger.unionByName(new)
-    return attach(docs, full).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+def update_ledger(docs: DataFrame, path: str, rule_version: int = RULE_VERSION) -> None:
+    """Adds to the ledger at ``path`` what it lacks for these documents."""
+    scan_unseen(docs, read_ledger(docs.sparkSession, path), rule_version).write.mode("append").parquet(path)
 
 
-def update_ledger(docs: DataFrame, path: str) -> None:
-    """Append to the ledger table at ``path`` what it lacks for these documents."""
-    spark = docs.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    known = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    old = spark.read.parquet(path) if known else None
-    scan_unseen(docs, old).write.mode("append").parquet(path)
+def secret_scan(docs: DataFrame, path: str) -> DataFrame:
+    """Findings of every document by the ledger at ``path``, which is brought up to date first."""
+    update_ledger(docs, path)
+    return attach(docs, read_ledger(docs.sparkSession, path))
