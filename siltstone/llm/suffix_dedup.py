@@ -52,9 +52,9 @@ PIECE = 1 << 20
 _LOW = U64((1 << 21) - 1)
 PRINT_BITS = 40
 PARTITION_BYTES = 1 << 25
-#: Suffixes in a bucket, and sampled suffixes (of a block, in all) for the splitters.
+#: Suffixes in a bucket; sampled suffixes of a block, and for each bucket: the sample grows with the buckets.
 BUCKET = 100_000
-SAMPLE_BLOCK, SAMPLE = 256, 100_000
+SAMPLE_BLOCK, PER_BUCKET = 256, 16
 LEAD = 16
 
 
@@ -119,7 +119,9 @@ def blocks(docs: DataFrame) -> DataFrame:
                 few = at[h % U64(64) == 0]
                 few = few[few + LEAD <= len(x)]
                 sample += [x[i : i + LEAD] for i in few.tolist()]
-            cut = sample[:: -(-len(sample) // SAMPLE_BLOCK)] if sample else []
+            step = max(1, -(-len(sample) // SAMPLE_BLOCK))
+            cut = sample[::step]
+            cut = [cut[i] for i in np.random.default_rng(seq).permutation(len(cut))]  # any stretch of it is a sample
             ids = b.column("doc_id")
             yield pa.RecordBatch.from_arrays(
                 [
@@ -376,7 +378,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     shared.release(spark)
     held = more.agg(F.sum("n")).first()[0] or 0
     buckets = max(2 * tasks, -(-held // BUCKET))
-    few = table.select("sample").orderBy(F.xxhash64("block")).limit(SAMPLE // SAMPLE_BLOCK).collect()
+    n_blocks = max(1, table.count())
+    most = min(SAMPLE_BLOCK, -(-PER_BUCKET * buckets // n_blocks)) * LEAD
+    few = table.select(F.substring("sample", 1, most)).collect()  # PER_BUCKET leads a bucket
     lead = np.sort(np.frombuffer(b"".join(r[0] for r in few), f"S{LEAD}"))
     splitters = np.unique(lead[np.linspace(0, len(lead) - 1, buckets + 1).astype(int)[1:-1]]) if len(lead) else lead
     rows = table.select("block", "ids", "sizes", "data")
