@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 _made: list[str] = []
+_released = 0.0
 
 
 def folder(spark: SparkSession) -> str:
@@ -57,7 +59,11 @@ def table(df: DataFrame, free: bool = True) -> tuple[DataFrame, str]:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of frames that are no longer referenced."""
+    """Lets Spark remove the shuffle files of frames that are no longer referenced; within two seconds, once."""
+    global _released
+    if time.monotonic() - _released < 2:
+        return
+    _released = time.monotonic()
     gc.collect()
     spark._jvm.System.gc()
 
