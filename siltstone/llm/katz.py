@@ -1,36 +1,48 @@
-"""Katz backoff language model of words with Good-Turing discounts.
+"""Katz backoff language model of words with Good-Turing discounts, of any order.
 
 Texts become blocks of a few MB: arrays of token codes with a vocabulary.  A
-block asks for what it needs and nothing else: it sends its distinct tokens,
-then its distinct bigrams by context, in packed arrays to the partitions of
-the count tables.  Partition p of the unigram table adds up counts; partition
-p of the bigram table holds whole contexts, so it computes their discounts and
-exactly normalised backoff weights itself and answers every request with the
-count, or for an unseen bigram the backoff weight.  Contexts so frequent that
-they would fill a partition are salted by the following word; the few partial
-sums of those are added up and sent to all.  Each token is then evaluated
-recursively: bigram if seen, else backoff weight times unigram.
-
-Unigrams form the training vocabulary and one unknown type, which gets the
-mass that the unigram discounts free.  If a context has no discounted bigram,
-one count is kept free for the unseen ones.
+block asks for what it needs and nothing else: first it sends its distinct
+tokens, then order by order its distinct n-grams by context, in packed arrays
+to the partitions of the count tables.  A partition adds up the training counts
+and answers every request with the count and, for n-grams that were seen, with
+a number.  The number of a context and that of a word name an n-gram of the
+next order, so n-grams are told apart exactly; words are numbered by frequency
+and others in the order of their partition, which keeps the arrays small.
+
+A partition holds whole contexts, so it computes what their discounts and
+exactly normalised backoff weights are made of: the numbers of followers with
+counts 1 to K, and the probability of all followers in the lower order.  The
+merged n-grams of each partition are part of the table it writes; ``train``
+keeps these tables, and ``score`` can read them back, where they take part like
+one more block.  Contexts so frequent that they would fill a partition are
+salted by the following word; the partial sums of those are added up in a table
+and joined to the blocks that met them.
+
+Each token is evaluated recursively from the lowest order up: the discounted
+relative frequency where its n-gram was seen, else the context's backoff weight
+times the probability of the lower order; a context that was never seen passes
+the lower order on.  Unigrams form the training vocabulary and one unknown type,
+which gets the mass that the unigram discounts free.  If a context has no
+discounted n-gram, one count is kept free for the unseen ones.  A text starts
+after one end token; contexts of more words than that are those the text has.
 
 Edge cases: a null or empty text is one end token; without training rows
 every token is unknown with probability 1; a null id is scored, never learned
 from and has a null held_out; repeated rows count and are scored each; very
-long texts make a block of their own.
+long texts make a block of their own; an empty table gives no rows; there are
+no ties, as everything is a sum; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import shared
@@ -39,13 +51,18 @@ from siltstone.llm.labelled import remainder
 from siltstone.llm.textcodes import U64, mix, word_codes
 
 FOLDS, HELD_OUT = 7, 2
+ORDER = 3
 #: Counts up to this one are discounted.
 K = 5
 BLOCK_BYTES = 6 << 20
-PARTITION_BYTES = 1 << 25
+#: Bytes of token codes, and tokens, that a partition of the count tables gets on average.
+PARTITION_BYTES, PARTITION_TOKENS = 1 << 25, 4_000_000
+#: A context with more than this part of a partition's tokens is salted.
+SALT = 4
 END = U64(0x0123456789ABCDEF)
-TAG_BYTES = 5
-#: Marks a count whose context has no discounted bigram.
+#: Number of the unknown word; those that were seen follow.
+UNKNOWN, FIRST = 1, 2
+#: Marks a count whose context has no discounted n-gram.
 BARE = np.uint32(1 << 31)
 
 
@@ -62,21 +79,23 @@ def discounts(counts_of_counts: list[int]) -> np.ndarray:
 
 
 @dataclass
-class Unigrams:
-    """Totals of the training tokens and the discounts of both orders."""
+class Totals:
+    """Training tokens, and for each order its discounts; ``free`` is the unknown type's probability."""
 
     total: int
     types: int
-    d1: np.ndarray
     free: float
-    d2: np.ndarray
+    d: dict[int, np.ndarray] = field(default_factory=dict)
 
-    def p(self, c: np.ndarray) -> np.ndarray:
+    def unigram(self, c: np.ndarray) -> np.ndarray:
         """Probability of types with these counts; the unknown type has count 0."""
         if not self.total:
             return np.ones(len(c))
-        kept = np.where(c <= K, self.d1[np.minimum(c, K)], 1.0) * c / self.total
-        return np.where(c > 0, kept, self.free)
+        return np.where(c > 0, self.seen(1, c, np.int64(self.total)), self.free)
+
+    def seen(self, k: int, c: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """Discounted relative frequency of n-grams of order ``k`` that were seen ``c`` times in contexts of this count."""
+        return np.where(c <= K, self.d[k][np.minimum(c, K)], 1.0) * c / np.maximum(context, 1)
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -114,8 +133,8 @@ def _part(codes: np.ndarray, parts: int) -> np.ndarray:
     return ((codes >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64)
 
 
-def blocks(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Tokens of the texts, a block a row."""
+def blocks(docs: DataFrame, id_col: str = "doc_id", learn: bool = True) -> DataFrame:
+    """Tokens of the texts, a block a row; without ``learn`` all of them count as held out."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seq = TaskContext.get().partitionId(), 0
@@ -145,16 +164,29 @@ def blocks(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
             seq += 1
             yield pa.RecordBatch.from_arrays(row, ["block", "ids", "missing", "fold", "n", "local", "ranked", "vocab", "tokens"])
 
+    fold = remainder(id_col, FOLDS).cast("int") if learn else F.lit(HELD_OUT)
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("data"),
-        remainder(id_col, FOLDS).cast("int").alias("fold"),
+        fold.alias("fold"),
     )
     return rows.mapInArrow(
         run, "block long, ids binary, missing binary, fold binary, n binary, local binary, ranked binary, vocab binary, tokens long"
     )
 
 
+@dataclass
+class Level:
+    """Distinct n-grams of one order in a block: context (among those of the order below), word, training count,
+    the n-gram of the order below that ends the same, and each token's place among them (-1: none)."""
+
+    ctx: np.ndarray
+    word: np.ndarray
+    counts: np.ndarray
+    lower: np.ndarray
+    place: np.ndarray
+
+
 class Block:
     """One row of ``blocks``, unpacked."""
 
@@ -163,47 +195,39 @@ class Block:
         self.block = row["block"]
         self.ids, self.missing, self.fold = get("ids", np.int64), get("missing", np.int8), get("fold", np.int8)
         self.n, self.vocab = get("n", np.int32), unpack_sorted(row["vocab"])
-        self.local = np.cumsum(get("ranked", np.int32), dtype=np.int32)[get("local", np.int32)]
+        self.local = np.cumsum(get("ranked", np.int32), dtype=np.int32)[get("local", np.int32)].astype(np.int64)
         self.first = np.cumsum(self.n) - self.n
         learn = (self.fold != HELD_OUT) & (self.missing == 0)
         self.learn = np.repeat(learn, self.n)
 
-    def token_counts(self) -> np.ndarray:
-        return np.bincount(self.local[self.learn], minlength=len(self.vocab)).astype(np.int64)
-
-    def bigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct (context, word) as local ids, training counts, and each token's place among them."""
-        end = np.searchsorted(self.vocab, END)
-        before = np.empty(len(self.local), np.int64)
-        before[1:] = self.local[:-1]
-        before[self.first] = end
-        pair, place = np.unique(before * len(self.vocab) + self.local, return_inverse=True)
-        counts = np.bincount(place[self.learn], minlength=len(pair)).astype(np.int64)
-        return pair // len(self.vocab), pair % len(self.vocab), counts, place
-
-
-class Requests:
-    """A block's distinct bigrams in the order of their partitions."""
-
-    def __init__(self, b: Block, known: np.ndarray, total: int, parts: int):
-        h, w, counts, self.place = b.bigrams()
-        tags = mix(b.vocab[w] + U64(0x51ED270B)) >> U64(64 - 8 * TAG_BYTES)
-        salts = np.maximum(1, -(-known[h] * 4 * parts // max(1, total)))
-        self.salted = salts > 1
-        part = (_part(b.vocab[h], parts) + (tags.astype(np.int64) % salts)) % parts
-        self.order = np.lexsort((tags, h, part))
-        self.h, self.w, self.counts, self.tags = (x[self.order] for x in (h, w, counts, tags))
-        self.part, self.salted = part[self.order], self.salted[self.order]
-
-
-def _pack_tags(tags: np.ndarray, head: np.ndarray, bounds: np.ndarray) -> list[bytes]:
-    """Tags ascend within a context: the first as it is, the others as differences."""
-    steps = np.diff(tags, prepend=U64(0))
-    steps[head] = tags[head]
+    def words(self) -> Level:
+        none = np.empty(0, np.int64)
+        counts = np.bincount(self.local[self.learn], minlength=len(self.vocab)).astype(np.int64)
+        return Level(none, np.arange(len(self.vocab)), counts, none, self.local)
+
+    def above(self, below: Level, k: int) -> Level:
+        """The level of order ``k`` from the one below it."""
+        ctx = np.empty(len(self.local), np.int64)
+        ctx[1:] = below.place[:-1]
+        ctx[self.first] = np.searchsorted(self.vocab, END) if k == 2 else -1
+        has = np.flatnonzero(ctx >= 0)
+        pair, place = np.unique(ctx[has] * len(self.vocab) + self.local[has], return_inverse=True)
+        counts = np.bincount(place[self.learn[has]], minlength=len(pair)).astype(np.int64)
+        lower = np.empty(len(pair), np.int64)
+        lower[place] = below.place[has]
+        whole = np.full(len(self.local), -1)
+        whole[has] = place
+        return Level(pair // len(self.vocab), pair % len(self.vocab), counts, lower, whole)
+
+
+def _pack_steps(values: np.ndarray, head: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """Values ascend within a context: the first as it is, the others as differences."""
+    steps = np.diff(values, prepend=U64(0))
+    steps[head] = values[head]
     return _cut(steps, bounds)
 
 
-def _unpack_tags(parts: list[bytes], sizes: np.ndarray) -> np.ndarray:
+def _unpack_steps(parts: list[bytes], sizes: np.ndarray) -> np.ndarray:
     steps = np.concatenate([unpack(x, U64) for x in parts])
     head = np.cumsum(sizes) - sizes
     run = np.cumsum(steps, dtype=U64)
@@ -211,26 +235,29 @@ def _unpack_tags(parts: list[bytes], sizes: np.ndarray) -> np.ndarray:
 
 
 def _rows(table: DataFrame, answers: list[DataFrame]) -> DataFrame:
-    """Blocks with the answers to them, each a list in the order of partitions."""
-    for i, a in enumerate(answers):
-        fields = [c for c in a.columns if c not in ("block",)]
-        got = a.groupBy("block").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(f"a{i}"))
-        table = table.join(got, "block")
+    """Blocks with the answers to them, each a list in the order of partitions; none is null."""
+    for a in answers:
+        table = table.join(a, "block", "left")
     return table
 
 
+def _listed(found: DataFrame, name: str) -> DataFrame:
+    fields = [c for c in found.columns if c != "block"]
+    return found.groupBy("block").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(name))
+
+
 def _ask_tokens(parts: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                b = Block(row)
+            for i in range(batch.num_rows):
+                b = Block(batch.slice(i, 1).to_pylist()[0])
                 part = _part(b.vocab, parts)
                 used = np.unique(part)
                 bounds = np.append(np.searchsorted(part, used), len(part))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(len(used), b.block)), pa.array(used.astype(np.int32)),
-                        pa.array(_cut_sorted(b.vocab, bounds), pa.binary()), pa.array(_cut(b.token_counts(), bounds), pa.binary()),
+                        pa.array(_cut_sorted(b.vocab, bounds), pa.binary()), pa.array(_cut(b.words().counts, bounds), pa.binary()),
                     ],
                     ["block", "p", "codes", "counts"],
                 )
@@ -242,76 +269,168 @@ def _of_counts(c: np.ndarray) -> list[int]:
     return np.bincount(c[(c > 0) & (c <= K + 1)], minlength=K + 2)[1 : K + 2].tolist()
 
 
+TOKENS = "block long, p int, known binary, places binary, stats array<long>, codes binary, counts binary"
+
+
 def _add_tokens(t: pa.Table) -> pa.Table:
-    """One partition of the unigram table: adds up, answers each block, and one row of statistics."""
+    """One partition of the unigram table: adds up, answers each block with counts and places by frequency, and one row
+    of statistics with the table itself."""
     codes = [unpack_sorted(x.as_py()) for x in t["codes"]]
     counts = np.concatenate([unpack(x.as_py(), np.int64) for x in t["counts"]])
-    n = np.array([len(c) for c in codes])
+    bounds = np.append(0, np.cumsum([len(c) for c in codes]))
     u, inv = np.unique(np.concatenate(codes), return_inverse=True)
     total = np.zeros(len(u), np.int64)
     np.add.at(total, inv, counts)
-    bounds = np.append(0, np.cumsum(n))
-    stats = [int(total.sum()), int((total > 0).sum()), *_of_counts(total)]
-    blocks_ = t["block"].to_pylist()
-    p = t["p"].to_pylist()
+    place = np.empty(len(u), np.int64)
+    place[np.lexsort((u, -total))] = np.arange(len(u))
+    seen = total > 0
+    asked = [i for i, x in enumerate(t["block"].to_pylist()) if x is not None]
+    cut = lambda v: [pack(v[inv[bounds[i] : bounds[i + 1]]]) for i in asked]
+    n, p = len(asked), t["p"][0].as_py()
+    stats = [int(total.sum()), int(seen.sum()), *_of_counts(total)]
     return pa.table(
         {
-            "block": pa.array([*blocks_, None], pa.int64()),
-            "p": pa.array([*p, p[0]], pa.int32()),
-            "known": pa.array([*_cut(total[inv], bounds), None], pa.binary()),
-            "stats": pa.array([*([None] * len(p)), stats], pa.list_(pa.int64())),
+            "block": pa.array([*(t["block"][i].as_py() for i in asked), None], pa.int64()),
+            "p": pa.array([p] * (n + 1), pa.int32()),
+            "known": pa.array([*cut(total), None], pa.binary()),
+            "places": pa.array([*cut(np.where(seen, place, 0).astype(np.int32)), None], pa.binary()),
+            "stats": pa.array([*([None] * n), stats], pa.list_(pa.int64())),
+            "codes": pa.array([*([None] * n), pack_sorted(u[seen])], pa.binary()),
+            "counts": pa.array([*([None] * n), pack(total[seen])], pa.binary()),
         }
     )
 
 
-def _known(row: dict) -> np.ndarray:
-    return np.concatenate([unpack(x["known"], np.int64) for x in row["a0"]])
+class Evaluation:
+    """A block with the answers so far: counts, numbers, bare contexts and backoff weights of its n-grams by order."""
+
+    def __init__(self, row: dict, totals: Totals, parts: int, upto: int):
+        self.b, self.totals, self.parts = Block(row), totals, parts
+        self.level = {1: self.b.words()}
+        answers = row["a1"]
+        self.count = {1: np.concatenate([unpack(x["known"], np.int64) for x in answers])}
+        part = np.concatenate([np.full(len(unpack(x["known"], np.int64)), x["p"]) for x in answers])
+        place = np.concatenate([unpack(x["places"], np.int32) for x in answers]).astype(np.int64)
+        number = place * row["parts1"] + part + FIRST
+        self.number = {1: np.where(self.count[1] > 0, number, UNKNOWN)}
+        self.bare = {1: np.zeros(len(self.b.vocab), bool)}
+        self.weight = {}
+        for k in range(2, upto + 1):
+            self._read(k, row[f"a{k}"] or [], row[f"hot{k}"] or [])
+
+    def context_count(self, k: int) -> np.ndarray:
+        """Training count of the context of each n-gram of order ``k``."""
+        if k == 1:
+            return np.full(len(self.b.vocab), self.totals.total)
+        return self.count[k - 1][self.level[k].ctx]
+
+    def request(self, k: int) -> Requests:
+        if k not in self.level:
+            self.level[k] = self.b.above(self.level[k - 1], k)
+        return Requests(self, k)
+
+    def _read(self, k: int, answers: list, hot: list) -> None:
+        r = self.request(k)
+        n = len(self.level[k].ctx)
+        self.count[k], self.number[k] = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.bare[k], self.weight[k] = np.zeros(n, bool), np.ones(n)
+        if not len(r.sel):
+            return
+        found = np.concatenate([unpack(x["found"], np.uint32) for x in answers])
+        count, bare = (found & ~BARE).astype(np.int64), (found & BARE) > 0
+        seen = count > 0
+        number = np.zeros(len(found), np.int64)
+        number[seen] = np.concatenate([unpack_sorted(x["places"]) for x in answers]).astype(np.int64) * self.parts + r.part[seen] + FIRST
+        few = np.concatenate([unpack(x["few"], np.int32) for x in answers]).reshape(-1, K)
+        low = np.concatenate([unpack(x["low"], np.float64) for x in answers])
+        weight, cc = np.ones(len(found)), r.c_ctx
+        at = np.flatnonzero(~seen)
+        d = self.totals.d[k]
+        if len(at):
+            c, p = r.ctx[at], r.part[at]
+            which = np.cumsum(np.append(True, (c[1:] != c[:-1]) | (p[1:] != p[:-1]))) - 1
+            weight[at] = backoff(few[which], low[which], cc[at], d)[0]
+        if r.salted.any():
+            h = np.array([x["h"] for x in hot], np.int64)
+            order = np.argsort(h)
+            mine = np.flatnonzero(r.salted)
+            at = order[np.searchsorted(h[order], r.ctx[mine].view(np.int64))]
+            n_hot = np.array([[x[f"n{i}"] for i in range(K)] for x in hot], np.float64)[at]
+            low_hot = np.array([x["low"] for x in hot], np.float64)[at]
+            weight[mine], bare[mine] = backoff(n_hot, low_hot, cc[mine], d)
+        for kept, value in ((self.count[k], count), (self.number[k], number), (self.bare[k], bare), (self.weight[k], weight)):
+            kept[r.sel] = value
+
+    def probabilities(self, order: int) -> np.ndarray:
+        """Probability of each token, from the lowest order up."""
+        p = self.totals.unigram(self.count[1])[self.b.local]
+        for k in range(2, order + 1):
+            place, cc = self.level[k].place, self.context_count(k)
+            at = np.flatnonzero(place >= 0)
+            at = at[cc[place[at]] > 0]
+            g = place[at]
+            c = self.count[k][g]
+            high = self.totals.seen(k, c, cc[g] + self.bare[k][g])
+            p[at] = np.where(c > 0, high, self.weight[k][g] * p[at])
+        return p
 
 
-def _ask_bigrams(total: int, parts: int):
+class Requests:
+    """A block's distinct n-grams of order ``k`` whose context was seen, in the order of their partitions."""
+
+    def __init__(self, e: Evaluation, k: int):
+        level, parts = e.level[k], e.parts
+        c_ctx = e.context_count(k)
+        sel = np.flatnonzero(c_ctx > 0)
+        ctx, word = e.number[k - 1][level.ctx[sel]].astype(U64), e.number[1][level.word[sel]].astype(U64)
+        salts = np.maximum(1, -(-c_ctx[sel] * SALT * parts // max(1, e.totals.total)))
+        part = (_part(mix(ctx), parts) + (mix(word) % salts.astype(U64)).astype(np.int64)) % parts
+        order = np.lexsort((word, ctx))
+        order = order[np.argsort(part[order].astype(np.int32), kind="stable")]
+        self.sel, self.ctx, self.word, self.part = sel[order], ctx[order], word[order], part[order]
+        self.salted, self.c_ctx = salts[order] > 1, c_ctx[self.sel]
+
+
+def _ask(k: int, totals: Totals, parts: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                b, known = Block(row), _known(row)
-                r = Requests(b, known, total, parts)
+                e = Evaluation(batch.slice(i, 1).to_pylist()[0], totals, parts, k - 1)
+                r, level = e.request(k), e.level[k]
+                if not len(r.sel):
+                    continue
                 used = np.unique(r.part)
                 bounds = np.append(np.searchsorted(r.part, used), len(r.part))
-                head = np.flatnonzero(np.append(True, (r.h[1:] != r.h[:-1]) | (r.part[1:] != r.part[:-1])))
-                h_bounds = np.append(np.searchsorted(head, bounds[:-1]), len(head))
-                sizes = np.diff(np.append(head, len(r.h))).astype(np.int32)
+                head = np.flatnonzero(np.append(True, (r.ctx[1:] != r.ctx[:-1]) | (r.part[1:] != r.part[:-1])))
+                heads = np.append(np.searchsorted(head, bounds[:-1]), len(head))
+                sizes = np.diff(np.append(head, len(r.ctx))).astype(np.int32)
+                counts, lower = level.counts[r.sel], level.lower[r.sel]
+                of_lower = e.count[k - 1][lower]
                 cols = [
-                    _cut_sorted(b.vocab[r.h[head]], h_bounds), _cut(sizes, h_bounds), _cut(r.salted[head], h_bounds),
-                    _pack_tags(r.tags, head, bounds), _cut(np.where(r.counts > 0, known[r.w], 0), bounds), _cut(r.counts.astype(np.int32), bounds),
+                    _cut_sorted(r.ctx[head], heads), _cut(sizes, heads), _cut(r.salted[head], heads), _pack_steps(r.word, head, bounds),
+                    _cut(counts.astype(np.int32), bounds), _cut(np.where(counts > 0, of_lower, 0), bounds),
+                    _cut(e.context_count(k - 1)[lower][head], heads), _cut(e.bare[k - 1][lower][head], heads),
                 ]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(used), b.block)), pa.array(used.astype(np.int32)), *(pa.array(c, pa.binary()) for c in cols)],
-                    ["block", "p", "h", "sizes", "salted", "tags", "cw", "counts"],
+                    [pa.array(np.full(len(used), e.b.block)), pa.array(used.astype(np.int32)), *(pa.array(c, pa.binary()) for c in cols)],
+                    ["block", "p", *PACKET],
                 )
 
     return run
 
 
-def _read_bigrams(t: pa.Table):
-    get = lambda name, kind: [unpack(x.as_py(), kind) for x in t[name]]
-    h = np.concatenate([unpack_sorted(x.as_py()) for x in t["h"]])
-    sizes = np.concatenate(get("sizes", np.int32))
-    salted = np.repeat(np.concatenate(get("salted", bool)), sizes)
-    tags = _unpack_tags(t["tags"].to_pylist(), sizes)
-    counts = np.concatenate(get("counts", np.int32)).astype(np.int64)
-    cw = np.concatenate(get("cw", np.int64))
-    h = np.repeat(h, sizes)
-    _, first, inv = np.unique(mix(h ^ mix(tags)), return_index=True, return_inverse=True)
-    total = np.zeros(len(first), np.int64)
-    np.add.at(total, inv, counts)
-    word = np.zeros(len(first), np.int64)  # the word's count, sent with training bigrams only
-    np.maximum.at(word, inv, cw)
-    bounds = np.append(0, np.cumsum([len(x) for x in get("counts", np.int32)]))
-    return h[first], salted[first], word, total, inv, bounds
+PACKET = ["ctx", "sizes", "salted", "word", "counts", "lower", "low_count", "low_bare"]
+ASKED = "block long, p int, " + ", ".join(f"{c} binary" for c in PACKET)
+FOUND = (
+    "block long, p int, found binary, places binary, few binary, low binary, need array<long>, h long, stats array<long>, mass double, "
+    + ", ".join(f"{c} binary" for c in PACKET)
+)
+
+KINDS = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
 
 
 def backoff(n: np.ndarray, low: np.ndarray, c: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Backoff weights of contexts, and which have no discounted bigram.
+    """Backoff weights of contexts, and which have no discounted n-gram.
 
     ``n``: followers with counts 1..K (a row a context); ``low``: probability
     of all followers in the lower order; ``c``: the context's count; ``d``: discounts.
@@ -322,95 +441,100 @@ def backoff(n: np.ndarray, low: np.ndarray, c: np.ndarray, d: np.ndarray) -> tup
     return np.where(c > 0, left / np.maximum(1 - low, 1e-300), 1.0), bare & (c > 0)
 
 
-def _add_bigrams(uni: Unigrams):
-    """One partition of the bigram table: adds up, and answers with counts; for a context that
-    some block met with an unseen word, with what its backoff weight is made of; and one row
-    of statistics.  What it sends of salted contexts goes to all blocks."""
+def _add(k: int, totals: Totals):
+    """One partition of the table of order ``k``: adds up, and answers with counts and, for what was seen, places; for a
+    context that some block met with an unseen word, with what its backoff weight is made of; one row of statistics
+    and the merged table; and the partial sums of salted contexts."""
 
     def run(t: pa.Table) -> pa.Table:
-        h, salted, cw, total, inv, bounds = _read_bigrams(t)
-        u, context = np.unique(h, return_inverse=True)
+        get = lambda name, kind: np.concatenate([unpack(x.as_py(), kind) for x in t[name]])
+        sizes = get("sizes", np.int32)
+        if not len(sizes):  # a stored table without n-grams
+            return pa.table({f.split()[0]: pa.array([], KINDS[f.split()[1]]) for f in FOUND.split(", ")})
+        of_head = lambda v: np.repeat(v, sizes)
+        word = _unpack_steps(t["word"].to_pylist(), sizes)
+        ctx = of_head(np.concatenate([unpack_sorted(x.as_py()) for x in t["ctx"]]))
+        per_packet = [len(unpack(x.as_py(), np.int32)) for x in t["counts"]]
+        bounds = np.append(0, np.cumsum(per_packet))
+        order = np.lexsort((word, ctx))
+        ctx, word = ctx[order], word[order]
+        start = np.flatnonzero(np.append(True, (ctx[1:] != ctx[:-1]) | (word[1:] != word[:-1])))
+        inv = np.empty(len(order), np.int64)
+        inv[order] = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(order))))
+        ctx, word = ctx[start], word[start]
+        reduce = lambda f, v: f.reduceat(v[order], start)
+        total = reduce(np.add, get("counts", np.int32).astype(np.int64))
+        lower = reduce(np.maximum, get("lower", np.int64))
+        head = np.flatnonzero(np.append(True, ctx[1:] != ctx[:-1]))
+        context = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(ctx))))
+        by_context = lambda v: np.maximum.reduceat(reduce(np.maximum, of_head(v)), head)
+        low_count, low_bare, part = by_context(get("low_count", np.int64)), by_context(get("low_bare", bool)), by_context(get("salted", bool))
         seen = total > 0
-        n = np.zeros((len(u), K), np.int64)
-        few = seen & (total <= K)
-        np.add.at(n, (context[few], total[few] - 1), 1)
-        low = np.bincount(context, weights=np.where(seen, uni.p(cw), 0.0), minlength=len(u))
-        part = np.zeros(len(u), bool)
-        part[context[salted]] = True
+        p_low = totals.seen(k - 1, lower, (low_count + low_bare)[context])
+        mass = np.bincount(context, weights=np.where(seen, p_low, 0.0), minlength=len(head))
+        few = np.flatnonzero(seen & (total <= K))
+        n = np.bincount(context[few] * K + total[few] - 1, minlength=len(head) * K).reshape(-1, K)
         bare = (n.sum(axis=1) == 0) & ~part
-        counts = (total.astype(np.uint32) | np.where(bare[context], BARE, np.uint32(0)))[inv]
-        met = context[inv]
-        found, weights = [], []
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            found.append(pack(counts[a:b]))
-            # each context once, at its first unseen word
-            at = met[a:b][(total == 0)[inv[a:b]]]
-            at = at[np.append(True, at[1:] != at[:-1])] if len(at) else at
-            weights.append(pack(np.concatenate([n[at].astype(np.float64), low[at][:, None]], axis=1).ravel()))
-        s = np.flatnonzero(part)
-        rows, p = t["block"].to_pylist(), t["p"].to_pylist()
-        more = len(s) + 1
-        none = [None] * len(rows)
-        sums = [_of_counts(total), *(n[i].tolist() for i in s)]
+        counts = total.astype(np.uint32) | np.where(bare[context], BARE, np.uint32(0))
+        place = np.cumsum(seen) - 1
+        rows, blocks_ = [], t["block"].to_pylist()
+        for at, b in enumerate(blocks_):
+            if b is None:
+                continue
+            mine = inv[bounds[at] : bounds[at + 1]]
+            met = context[mine]
+            new = met[~seen[mine]]
+            new = new[np.append(True, new[1:] != new[:-1])] if len(new) else new
+            salted = np.unique(met[part[met]])
+            rows.append((
+                b, pack(counts[mine]), pack_sorted(place[mine][seen[mine]].astype(U64)), pack(n[new].astype(np.int32).ravel()), pack(mass[new]),
+                ctx[head[salted]].view(np.int64).tolist(),
+            ))
+        p, m = t["p"][0].as_py(), len(rows)
+        salted = np.flatnonzero(part)
+        more = 1 + len(salted)
+        block, found, places, few_, low, need = zip(*rows) if rows else [()] * 6
+        # the table itself, as one packet of what was seen
+        at = np.flatnonzero(seen)
+        c = context[at]
+        first = np.flatnonzero(np.append(True, c[1:] != c[:-1])) if len(at) else at
+        whole = np.array([0, len(at)])
+        held = c[first] if len(at) else at
+        table = [
+            pack_sorted(ctx[at][first]), pack(np.diff(np.append(first, len(at))).astype(np.int32)), pack(part[held]),
+            _pack_steps(word[at], first, whole)[0], pack(total[at].astype(np.int32)), pack(lower[at]), pack(low_count[held]), pack(low_bare[held]),
+        ]
+        none = lambda count: [None] * count
         return pa.table(
             {
-                "block": pa.array(rows + [None] * more, pa.int64()),
-                "p": pa.array(p + [p[0]] * more, pa.int32()),
-                "found": pa.array(found + [None] * more, pa.binary()),
-                "weights": pa.array(weights + [None] * more, pa.binary()),
-                "h": pa.array([*none, None, *u[s].view(np.int64).tolist()], pa.int64()),
-                "stats": pa.array([*none, *sums], pa.list_(pa.int64())),
-                "low": pa.array([*none, None, *low[s].tolist()], pa.float64()),
+                "block": pa.array([*block, *none(more)], pa.int64()), "p": pa.array([p] * (m + more), pa.int32()),
+                "found": pa.array([*found, *none(more)], pa.binary()), "places": pa.array([*places, *none(more)], pa.binary()),
+                "few": pa.array([*few_, *none(more)], pa.binary()), "low": pa.array([*low, *none(more)], pa.binary()),
+                "need": pa.array([*need, *none(more)], pa.list_(pa.int64())),
+                "h": pa.array([*none(m + 1), *ctx[head[salted]].view(np.int64).tolist()], pa.int64()),
+                "stats": pa.array([*none(m), _of_counts(total), *(n[i].tolist() for i in salted)], pa.list_(pa.int64())),
+                "mass": pa.array([*none(m + 1), *mass[salted].tolist()], pa.float64()),
+                **{name: pa.array([*none(m), v, *none(more - 1)], pa.binary()) for name, v in zip(PACKET, table)},
             }
         )
 
     return run
 
 
-def _score(uni: Unigrams, parts: int, hot: dict[int, tuple]):
-    """Scores of the documents of each block.  ``hot``: (followers by count, mass below) of salted contexts."""
-    codes = np.array(sorted(hot), np.int64).view(U64)
-    codes.sort()
-    sums = [hot[int(x)] for x in codes.view(np.int64)]
-    hot_n = np.array([x[0] for x in sums], np.float64).reshape(-1, K)
-    hot_low = np.array([x[1] for x in sums], np.float64)
-
+def _score(totals: Totals, parts: int, order: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                b, known = Block(row), _known(row)
-                r = Requests(b, known, uni.total, parts)
-                found = np.concatenate([unpack(x["found"], np.uint32) for x in row["a1"]])
-                made = np.concatenate([unpack(x["weights"], np.float64) for x in row["a1"]]).reshape(-1, K + 1)
-                count = (found & ~BARE).astype(np.int64)
-                bare = (found & BARE) > 0
-                ch = known[r.h]
-                weight = np.zeros(len(found))
-                at = np.flatnonzero(count == 0)
-                if len(at):
-                    h, p = r.h[at], r.part[at]
-                    which = np.cumsum(np.append(True, (h[1:] != h[:-1]) | (p[1:] != p[:-1]))) - 1
-                    weight[at] = backoff(made[which, :K], made[which, K], ch[at], uni.d2)[0]
-                if len(codes):
-                    at = np.minimum(np.searchsorted(codes, b.vocab[r.h]), len(codes) - 1)
-                    mine = r.salted & (codes[at] == b.vocab[r.h])
-                    at = at[mine]
-                    weight[mine], bare[mine] = backoff(hot_n[at], hot_low[at], ch[mine], uni.d2)
-                d = np.where(count <= K, uni.d2[np.minimum(count, K)], 1.0)
-                high = d * count / np.maximum(np.where(bare, ch + 1, ch), 1)
-                p = np.where(count > 0, high, weight * uni.p(known[r.w]))
-                log_p = np.empty(len(p))
-                log_p[r.order] = np.log10(p)
-                c = known[b.local]
-                base = np.log10((c + 1) / (uni.total + uni.types + 1))
+                e = Evaluation(batch.slice(i, 1).to_pylist()[0], totals, parts, order)
+                b, c = e.b, e.count[1][e.b.local]
+                base = np.log10((c + 1) / (totals.total + totals.types + 1))
                 per_doc = lambda v: np.add.reduceat(v, b.first)
                 miss = b.missing > 0
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(b.ids, pa.int64(), mask=miss), pa.array(b.fold == HELD_OUT, pa.bool_(), mask=miss),
                         pa.array(b.n.astype(np.int64)), pa.array(per_doc((c > 0).astype(np.int64))),
-                        pa.array(np.full(len(b.n), uni.total)), pa.array(per_doc(base)), pa.array(per_doc(log_p[r.place])),
+                        pa.array(np.full(len(b.n), totals.total)), pa.array(per_doc(base)), pa.array(per_doc(np.log10(e.probabilities(order)))),
                     ],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
@@ -423,45 +547,88 @@ def _sums(df: DataFrame, n: int) -> list[int]:
     return [int(x or 0) for x in got]
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """Base and Katz log10 probabilities of every text, learned from the training fold."""
+def _hot(found: DataFrame, name: str) -> DataFrame:
+    """Sums of the salted contexts that each block met."""
+    sums = found.where("h IS NOT NULL").groupBy("h").agg(
+        *[F.sum(F.col("stats")[i]).alias(f"n{i}") for i in range(K)], F.sum("mass").alias("low")
+    )
+    met = found.where("block IS NOT NULL").select("block", F.explode("need").alias("h")).distinct()
+    return met.join(sums, "h").groupBy("block").agg(F.collect_list(F.struct("h", *[f"n{i}" for i in range(K)], "low")).alias(name))
+
+
+@dataclass
+class Model:
+    """Tables of a trained model: one of unigrams and one of each higher order, a row a partition."""
+
+    path: str
+    parts1: int
+    parts: int
+    order: int
+
+    def packets(self, spark: SparkSession, k: int) -> DataFrame:
+        """The table of order ``k`` as the requests of a block without number."""
+        return spark.read.parquet(f"{self.path}/order{k}").withColumn("block", F.lit(None).cast("long"))
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Model:
+        return cls(path, *spark.read.parquet(f"{path}/sizes").select("parts1", "parts", "order").first())
+
+
+def _evaluate(docs: DataFrame, order: int, model: Model | None, keep: str | None) -> DataFrame:
     spark = docs.sparkSession
-    table, _ = shared.table(blocks(docs))
-    size = table.agg((F.sum("tokens") * 4).alias("n"), F.sum(F.octet_length("vocab")).alias("v")).first()
+    place = shared.mark()
+    paths = []
+
+    def table(df: DataFrame) -> DataFrame:
+        out, path = shared.table(df)
+        paths.append(path)
+        return out
+
+    packed = table(blocks(docs, learn=model is None))
+    size = packed.agg(F.sum("tokens").alias("n"), F.sum(F.octet_length("vocab")).alias("v")).first()
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts1 = max(2 * tasks, -(-2 * (size["v"] or 0) // PARTITION_BYTES))
-    parts2 = max(2 * tasks, -(-4 * (size["n"] or 0) // PARTITION_BYTES))
-    asked = table.mapInArrow(_ask_tokens(parts1), "block long, p int, codes binary, counts binary")
-    tokens, _ = shared.table(
-        asked.groupBy("p").applyInArrow(_add_tokens, "block long, p int, known binary, stats array<long>")
-    )
+    parts1 = model.parts1 if model else max(2 * tasks, -(-2 * (size["v"] or 0) // PARTITION_BYTES))
+    parts = model.parts if model else max(2 * tasks, -(-(size["n"] or 0) // PARTITION_TOKENS))
+    asked = packed.mapInArrow(_ask_tokens(parts1), "block long, p int, codes binary, counts binary")
+    if model:
+        asked = asked.unionByName(model.packets(spark, 1))
+    tokens = table(asked.groupBy("p").applyInArrow(_add_tokens, TOKENS))
     total, types, *ones = _sums(tokens.where("block IS NULL"), K + 3)
     d1 = discounts(ones)
     free = sum((1 - d1[r]) * r * ones[r - 1] for r in range(1, K + 1)) / total if total else 1.0
     if total and free <= 0:
         free = 1 / (total + 1)
-    answers = tokens.where("block IS NOT NULL").select("block", "p", "known")
-    uni = Unigrams(total, types, d1, free, np.ones(K + 1))
-    asked = _rows(table, [answers]).mapInArrow(
-        _ask_bigrams(total, parts2),
-        "block long, p int, h binary, sizes binary, salted binary, tags binary, cw binary, counts binary",
-    )
-    found, _ = shared.table(
-        asked.groupBy("p").applyInArrow(
-            _add_bigrams(uni), "block long, p int, found binary, weights binary, h long, stats array<long>, low double"
-        )
-    )
-    del asked
-    shared.release(spark)
-    own = found.where("block IS NULL")
-    uni.d2 = discounts(_sums(own.where("h IS NULL"), K + 1))
-    # Salted contexts: their counts sum to the tokens at most, so they are fewer than 4 * parts2.
-    partial = own.where("h IS NOT NULL").groupBy("h").agg(
-        *[F.sum(F.col("stats")[i]).alias(f"n{i}") for i in range(K)], F.sum("low").alias("low")
-    ).collect()
-    hot = {r["h"]: ([r[f"n{i}"] for i in range(K)], r["low"]) for r in partial}
-    rows = _rows(table, [answers, found.where("block IS NOT NULL").select("block", "p", "found", "weights")])
-    return rows.mapInArrow(
-        _score(uni, parts2, hot),
+    totals = Totals(total, types, free, {1: d1})
+    answers = [_listed(tokens.where("block IS NOT NULL").select("block", "p", "known", "places"), "a1")]
+    if keep:
+        tokens.where("block IS NULL").select("p", "codes", "counts").write.parquet(f"{keep}/order1")
+        spark.createDataFrame([(parts1, parts, order)], "parts1 int, parts int, order int").write.parquet(f"{keep}/sizes")
+    rows = packed.withColumn("parts1", F.lit(parts1))
+    for k in range(2, order + 1):
+        asked = _rows(rows, answers).mapInArrow(_ask(k, totals, parts), ASKED)
+        if model:
+            asked = asked.unionByName(model.packets(spark, k))
+        found = table(asked.groupBy("p").applyInArrow(_add(k, totals), FOUND))
+        del asked
+        shared.release(spark)
+        totals = Totals(total, types, free, totals.d | {k: discounts(_sums(found.where("block IS NULL AND h IS NULL"), K + 1))})
+        if keep:
+            found.where("block IS NULL AND h IS NULL").select("p", *PACKET).write.parquet(f"{keep}/order{k}")
+        own = found.where("block IS NOT NULL").select("block", "p", "found", "places", "few", "low")
+        answers += [_listed(own, f"a{k}"), _hot(found, f"hot{k}")]
+    shared.drop_since(spark, place, *paths)
+    return _rows(rows, answers).mapInArrow(
+        _score(totals, parts, order),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )
+
+
+def train(docs: DataFrame, path: str, order: int = ORDER) -> Model:
+    """Count tables of the training fold, written to ``path``."""
+    _evaluate(docs, order, None, path)
+    return Model.load(docs.sparkSession, path)
+
+
+def score(docs: DataFrame, order: int = ORDER, model: Model | None = None) -> DataFrame:
+    """Base and Katz log10 probabilities of every text, learned from the training fold or by a trained model."""
+    return _evaluate(docs, model.order if model else order, model, None)
