@@ -399,43 +399,94 @@ def test_op4_rows_of_one_id(spark):
     assert heads == 1 and "an unrelated line of its own here" in out[1][0] and out[2][0] == rows[2][1] and out[3][0] is None and out[4] == ("", "s", 3)
 
 
-def test_op5(spark, docs, texts):
-    tok = {i: [*words(x), None] for i, x in texts.items()}
-    train = [i for i in tok if zlib.crc32(str(i).encode()) % 7 != 2]
-    c = collections.Counter(w for i in train for w in tok[i])
-    n, v = sum(c.values()), len(c)
-    b = collections.defaultdict(collections.Counter)
-    for i in train:
-        h = None
-        for w in tok[i]:
-            b[h][w] += 1
-            h = w
-    d1 = katz.discounts([sum(x == r for x in c.values()) for r in range(1, 7)])
-    d2 = katz.discounts([sum(x == r for y in b.values() for x in y.values()) for r in range(1, 7)])
-    free = sum((1 - d1[x]) * x for x in c.values() if x <= 5) / n
-    low = lambda w: (d1[c[w]] if c[w] <= 5 else 1) * c[w] / n if w in c else free
+def _katz(train, tok, order):
+    """(base, score) of each text by the definitions, as Fractions are not needed: p(history, word) for any history."""
+    c = [None, collections.Counter(w for i in train for w in tok[i])]
+    for k in range(2, order + 1):
+        n = collections.defaultdict(collections.Counter)
+        for i in train:
+            t = [None, *tok[i]]
+            for at in range(1, len(t)):
+                if at >= k - 1:
+                    n[tuple(t[at - k + 1 : at])][t[at]] += 1
+        c.append(n)
+    total, types = sum(c[1].values()), len(c[1])
+    of = lambda xs: [sum(x == r for x in xs) for r in range(1, 7)]
+    d = [None, katz.discounts(of(c[1].values()))] + [katz.discounts(of([x for y in n.values() for x in y.values()])) for n in c[2:]]
+    free = sum((1 - d[1][x]) * x for x in c[1].values() if x <= 5) / total
     back = {}
 
     def p(h, w):
-        if h not in b:
-            return low(w)
-        free_h = sum((1 - d2[x]) * x for x in b[h].values() if x <= 5)
-        if w in b[h]:
-            return (d2[b[h][w]] if b[h][w] <= 5 else 1) * b[h][w] / (c[h] + (free_h <= 0))
+        k = len(h) + 1
+        if k == 1:
+            return (d[1][c[1][w]] if c[1][w] <= 5 else 1) * c[1][w] / total if w in c[1] else free
+        if h not in c[k]:
+            return p(h[1:], w)
+        follow = c[k][h]
+        n, free_h = sum(follow.values()), sum((1 - d[k][x]) * x for x in follow.values() if x <= 5)
+        if w in follow:
+            return (d[k][follow[w]] if follow[w] <= 5 else 1) * follow[w] / (n + (free_h <= 0))
         if h not in back:
-            back[h] = (free_h / c[h] if free_h > 0 else 1 / (c[h] + 1)) / (1 - sum(map(low, b[h])))
-        return back[h] * low(w)
-
-    for h in list(b)[:5]:
-        assert abs(sum(p(h, w) for w in c) + p(h, object()) - 1) < 1e-9
-    for r in katz.score(docs).collect():
-        h, s, base = None, 0.0, 0.0
-        for w in tok[r.doc_id]:
-            s, base, h = s + math.log10(p(h, w)), base + math.log10((c[w] + 1) / (n + v + 1)), w
-        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(tok[r.doc_id]), sum(w in c for w in tok[r.doc_id]), n, r.doc_id not in set(train))
+            back[h] = (free_h / n if free_h > 0 else 1 / (n + 1)) / (1 - sum(p(h[1:], x) for x in follow))
+        return back[h] * p(h[1:], w)
+
+    for k in range(2, order + 1):  # probabilities add up to one over the vocabulary and the unknown type
+        for h in list(c[k])[:3]:
+            assert abs(sum(p(h, w) for w in c[1]) + p(h, object()) - 1) < 1e-8
+    out = {}
+    for i, x in tok.items():
+        t = [None, *x]
+        out[i] = (
+            sum(math.log10((c[1][w] + 1) / (total + types + 1)) for w in x),
+            sum(math.log10(p(tuple(t[max(0, at - order + 1) : at]), t[at])) for at in range(1, len(t))),
+        )
+    return out, c[1], total
+
+
+def _check_katz(rows, texts, order):
+    tok = {i: [*words(x), None] for i, x in texts.items()}
+    train = [i for i in tok if zlib.crc32(str(i).encode()) % 7 != 2]
+    want, c, total = _katz(train, tok, order)
+    assert len(rows) == len(tok)
+    for r in rows:
+        base, s = want[r.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(tok[r.doc_id]), sum(w in c for w in tok[r.doc_id]), total, r.doc_id not in set(train))
         assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, s, rel_tol=1e-9)
 
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_op5(spark, docs, texts, order):
+    _check_katz(katz.score(docs, order).collect(), texts, order)
+
+
+@pytest.mark.parametrize("salt", [4, 400])
+def test_op5_salted_and_bare_contexts(spark, monkeypatch, salt):
+    """Many blocks, contexts dealt over several partitions, and ones whose followers all occur often."""
+    monkeypatch.setattr(katz, "SALT", salt)
+    monkeypatch.setattr(katz, "BLOCK_BYTES", 400)
+    rng = random.Random(19)
+    texts = {}
+    for i in range(160):
+        w = rng.choices(["the", "a", "of", *(f"w{j}" for j in range(40))], weights=[60, 30, 20, *range(1, 41)], k=rng.randint(0, 25))
+        texts[i] = " ".join(["fixed start of all"] * (i % 3 > 0) + w)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    for order in (2, 3, 4):
+        _check_katz(katz.score(df, order).collect(), texts, order)
+
+
+def test_op5_stored_tables(spark, tmp_path, texts):
+    """A model read back from its tables scores later texts as one trained beside them does."""
+    some = dict(list(texts.items())[:80])
+    df = spark.createDataFrame(list(some.items()), "doc_id long, text string")
+    model = katz.train(df, f"file://{tmp_path}/model")
+    assert model == katz.Model.load(spark, f"file://{tmp_path}/model")
+    want = {r.doc_id: (r.n_known, r.train_tokens, r.base_score, r.score) for r in katz.score(df).collect()}
+    got = {r.doc_id: (r.n_known, r.train_tokens, r.base_score, r.score) for r in katz.score(df, model=model).collect()}
+    assert set(got) == set(want)
+    for i in want:
+        assert got[i][:2] == want[i][:2] and all(math.isclose(a, b, rel_tol=1e-12) for a, b in zip(got[i][2:], want[i][2:]))
+
+
 def _repeats(rows):
     first = {}
     for d, x in rows:
