@@ -62,6 +62,8 @@ SALT = 4
 END = U64(0x0123456789ABCDEF)
 #: Number of the unknown word; those that were seen follow.
 UNKNOWN, FIRST = 1, 2
+#: Places of n-grams in a partition are below two to this power.
+PLACE_BITS = 36
 #: Marks a count whose context has no discounted n-gram.
 BARE = np.uint32(1 << 31)
 
@@ -111,6 +113,36 @@ def unpack(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
+def pack_small(values: np.ndarray) -> bytes:
+    """Numbers in groups of seven bits, the low ones first; the last byte of a number is below 128."""
+    v = values.astype(U64)
+    bytes_ = [v]
+    while (bytes_[-1] >> U64(7)).any():
+        bytes_.append(bytes_[-1] >> U64(7))
+    size = np.ones(len(v), np.int64)
+    for b in bytes_[1:]:
+        size += b > 0
+    last = np.cumsum(size)
+    out = np.empty(int(last[-1]) if len(v) else 0, np.uint8)
+    for i, b in enumerate(bytes_):
+        has = np.flatnonzero(size > i) if i else slice(None)
+        more = (size[has] > i + 1).astype(np.uint8) << 7
+        out[last[has] - size[has] + i] = (b[has] & U64(127)).astype(np.uint8) | more
+    return zstandard.compress(out.tobytes(), 3)
+
+
+def unpack_small(data: bytes) -> np.ndarray:
+    b = np.frombuffer(zstandard.decompress(data), np.uint8)
+    last = np.flatnonzero(b < 128)
+    first = np.append(0, last[:-1] + 1)
+    size = last - first + 1
+    out = (b[first] & 127).astype(np.int64) if len(last) else np.empty(0, np.int64)
+    for i in range(1, int(size.max()) if len(size) else 0):
+        has = np.flatnonzero(size > i)
+        out[has] |= (b[first[has] + i] & 127).astype(np.int64) << (7 * i)
+    return out
+
+
 def pack_sorted(codes: np.ndarray) -> bytes:
     """Ascending codes as their differences."""
     return pack(np.diff(codes, prepend=U64(0)))
@@ -153,16 +185,14 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", learn: bool = True) -> DataF
                 pa.array([(task << 32) | seq], pa.int64()),
                 *(
                     pa.array([pack(v)], pa.binary())
-                    for v in (
-                        ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), missing, fold, n,
-                        rank[local], np.diff(ranked, prepend=np.int32(0)),
-                    )
+                    for v in (ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), missing, fold, n, np.diff(ranked, prepend=np.int32(0)))
                 ),
+                pa.array([pack_small(rank[local])], pa.binary()),
                 pa.array([pack_sorted(vocab)], pa.binary()),
                 pa.array([len(local)], pa.int64()),
             ]
             seq += 1
-            yield pa.RecordBatch.from_arrays(row, ["block", "ids", "missing", "fold", "n", "local", "ranked", "vocab", "tokens"])
+            yield pa.RecordBatch.from_arrays(row, ["block", "ids", "missing", "fold", "n", "ranked", "local", "vocab", "tokens"])
 
     fold = remainder(id_col, FOLDS).cast("int") if learn else F.lit(HELD_OUT)
     rows = docs.select(
@@ -171,15 +201,29 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", learn: bool = True) -> DataF
         fold.alias("fold"),
     )
     return rows.mapInArrow(
-        run, "block long, ids binary, missing binary, fold binary, n binary, local binary, ranked binary, vocab binary, tokens long"
+        run, "block long, ids binary, missing binary, fold binary, n binary, ranked binary, local binary, vocab binary, tokens long"
     )
 
 
+def _vocabulary(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes in order, each token's place among them, and whether the token is learned from."""
+    vocab = unpack_sorted(row["vocab"])
+    local = np.cumsum(unpack(row["ranked"], np.int32), dtype=np.int32).astype(np.int64)[unpack_small(row["local"])]
+    return vocab, local, _learned(row)
+
+
+def _learned(row: dict) -> np.ndarray:
+    learn = (unpack(row["fold"], np.int8) != HELD_OUT) & (unpack(row["missing"], np.int8) == 0)
+    return np.repeat(learn, unpack(row["n"], np.int32))
+
+
 @dataclass
 class Level:
-    """Distinct n-grams of one order in a block: context (among those of the order below), word, training count,
-    the n-gram of the order below that ends the same, and each token's place among them (-1: none)."""
+    """Distinct n-grams of one order in a block whose context was seen, in the order of their partitions and numbers:
+    partition, context (among those of the order below), word, training count, the n-gram of the order below that ends
+    the same, and each token's place among them (-1: none)."""
 
+    part: np.ndarray
     ctx: np.ndarray
     word: np.ndarray
     counts: np.ndarray
@@ -187,50 +231,39 @@ class Level:
     place: np.ndarray
 
 
-class Block:
-    """One row of ``blocks``, unpacked."""
+def _distinct(part: np.ndarray, ctx: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First row of each distinct triple in their order, and each row's place among them."""
+    bits = [int(x.max()).bit_length() for x in (part, ctx, word)]
+    if sum(bits) < 64:
+        key = (part << (bits[1] + bits[2])) | (ctx << bits[2]) | word
+        _, first, place = np.unique(key, return_index=True, return_inverse=True)
+        return first, place
+    order = np.lexsort((word, ctx, part))
+    new = np.append(True, np.any([x[order][1:] != x[order][:-1] for x in (part, ctx, word)], axis=0))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return order[new], place
 
-    def __init__(self, row: dict):
-        get = lambda name, kind: unpack(row[name], kind)
-        self.block = row["block"]
-        self.ids, self.missing, self.fold = get("ids", np.int64), get("missing", np.int8), get("fold", np.int8)
-        self.n, self.vocab = get("n", np.int32), unpack_sorted(row["vocab"])
-        self.local = np.cumsum(get("ranked", np.int32), dtype=np.int32)[get("local", np.int32)].astype(np.int64)
-        self.first = np.cumsum(self.n) - self.n
-        learn = (self.fold != HELD_OUT) & (self.missing == 0)
-        self.learn = np.repeat(learn, self.n)
 
-    def words(self) -> Level:
-        none = np.empty(0, np.int64)
-        counts = np.bincount(self.local[self.learn], minlength=len(self.vocab)).astype(np.int64)
-        return Level(none, np.arange(len(self.vocab)), counts, none, self.local)
+def _cut_small(values: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    return [pack_small(values[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
 
-    def above(self, below: Level, k: int) -> Level:
-        """The level of order ``k`` from the one below it."""
-        ctx = np.empty(len(self.local), np.int64)
-        ctx[1:] = below.place[:-1]
-        ctx[self.first] = np.searchsorted(self.vocab, END) if k == 2 else -1
-        has = np.flatnonzero(ctx >= 0)
-        pair, place = np.unique(ctx[has] * len(self.vocab) + self.local[has], return_inverse=True)
-        counts = np.bincount(place[self.learn[has]], minlength=len(pair)).astype(np.int64)
-        lower = np.empty(len(pair), np.int64)
-        lower[place] = below.place[has]
-        whole = np.full(len(self.local), -1)
-        whole[has] = place
-        return Level(pair // len(self.vocab), pair % len(self.vocab), counts, lower, whole)
+
+def _cut_steps(values: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """Ascending values as their differences."""
+    return [pack_small(np.diff(values[a:b], prepend=0)) for a, b in zip(bounds[:-1], bounds[1:])]
 
 
 def _pack_steps(values: np.ndarray, head: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     """Values ascend within a context: the first as it is, the others as differences."""
-    steps = np.diff(values, prepend=U64(0))
+    steps = np.diff(values, prepend=0)
     steps[head] = values[head]
-    return _cut(steps, bounds)
+    return _cut_small(steps, bounds)
 
 
-def _unpack_steps(parts: list[bytes], sizes: np.ndarray) -> np.ndarray:
-    steps = np.concatenate([unpack(x, U64) for x in parts])
+def _unpack_steps(steps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     head = np.cumsum(sizes) - sizes
-    run = np.cumsum(steps, dtype=U64)
+    run = np.cumsum(steps)
     return run - np.repeat(run[head] - steps[head], sizes)
 
 
@@ -250,14 +283,16 @@ def _ask_tokens(parts: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                b = Block(batch.slice(i, 1).to_pylist()[0])
-                part = _part(b.vocab, parts)
+                row = batch.slice(i, 1).to_pylist()[0]
+                vocab, local, learn = _vocabulary(row)
+                counts = np.bincount(local[learn], minlength=len(vocab)).astype(np.int64)
+                part = _part(vocab, parts)
                 used = np.unique(part)
                 bounds = np.append(np.searchsorted(part, used), len(part))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.full(len(used), b.block)), pa.array(used.astype(np.int32)),
-                        pa.array(_cut_sorted(b.vocab, bounds), pa.binary()), pa.array(_cut(b.words().counts, bounds), pa.binary()),
+                        pa.array(np.full(len(used), row["block"])), pa.array(used.astype(np.int32)),
+                        pa.array(_cut_sorted(vocab, bounds), pa.binary()), pa.array(_cut(counts, bounds), pa.binary()),
                     ],
                     ["block", "p", "codes", "counts"],
                 )
@@ -301,118 +336,157 @@ def _add_tokens(t: pa.Table) -> pa.Table:
     )
 
 
+def _settle(parts: int):
+    """Blocks with the answers to their tokens, as blocks of numbered words: codes are no longer needed.
+
+    Words are listed by number, so their places in a block are in the order of
+    their numbers; unknown ones are one entry.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                vocab, local, _ = _vocabulary(row)
+                known = [unpack(x["known"], np.int64) for x in row["a1"]]
+                count, part = np.concatenate(known), np.repeat([x["p"] for x in row["a1"]], [len(x) for x in known])
+                place = np.concatenate([unpack(x["places"], np.int32) for x in row["a1"]]).astype(np.int64)
+                number, first, at = np.unique(np.where(count > 0, place * parts + part + FIRST, UNKNOWN), return_index=True, return_inverse=True)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(c).slice(i, 1) for c in ("block", "ids", "missing", "fold", "n")
+                    ] + [
+                        pa.array([pack_small(at[local])], pa.binary()), pa.array([pack_small(np.diff(number, prepend=0))], pa.binary()),
+                        pa.array([pack_small(count[first])], pa.binary()), pa.array([int(at[np.searchsorted(vocab, END)])], pa.int64()),
+                    ],
+                    ["block", "ids", "missing", "fold", "n", "local", "number", "count", "end"],
+                )
+
+    return run
+
+
+SETTLED = "block long, ids binary, missing binary, fold binary, n binary, local binary, number binary, count binary, end long"
+
+
 class Evaluation:
-    """A block with the answers so far: counts, numbers, bare contexts and backoff weights of its n-grams by order."""
+    """A settled block with the answers so far: counts, numbers, bare contexts and backoff weights of its n-grams by order."""
 
     def __init__(self, row: dict, totals: Totals, parts: int, upto: int):
-        self.b, self.totals, self.parts = Block(row), totals, parts
-        self.level = {1: self.b.words()}
-        answers = row["a1"]
-        self.count = {1: np.concatenate([unpack(x["known"], np.int64) for x in answers])}
-        part = np.concatenate([np.full(len(unpack(x["known"], np.int64)), x["p"]) for x in answers])
-        place = np.concatenate([unpack(x["places"], np.int32) for x in answers]).astype(np.int64)
-        number = place * row["parts1"] + part + FIRST
-        self.number = {1: np.where(self.count[1] > 0, number, UNKNOWN)}
-        self.bare = {1: np.zeros(len(self.b.vocab), bool)}
-        self.weight = {}
+        self.row, self.totals, self.parts = row, totals, parts
+        self.n = unpack(row["n"], np.int32)
+        self.first = np.cumsum(self.n) - self.n
+        self.local = unpack_small(row["local"])
+        self.learn = _learned(row)
+        self.count, self.number = {1: unpack_small(row["count"])}, {1: np.cumsum(unpack_small(row["number"]))}
+        none = np.empty(0, np.int64)
+        self.level = {1: Level(none, none, none, none, none, self.local)}
+        self.bare, self.weight = {1: np.zeros(len(self.count[1]), bool)}, {}
         for k in range(2, upto + 1):
             self._read(k, row[f"a{k}"] or [], row[f"hot{k}"] or [])
 
     def context_count(self, k: int) -> np.ndarray:
         """Training count of the context of each n-gram of order ``k``."""
         if k == 1:
-            return np.full(len(self.b.vocab), self.totals.total)
+            return np.full(len(self.count[1]), self.totals.total)
         return self.count[k - 1][self.level[k].ctx]
 
-    def request(self, k: int) -> Requests:
-        if k not in self.level:
-            self.level[k] = self.b.above(self.level[k - 1], k)
-        return Requests(self, k)
+    def salts(self, k: int) -> np.ndarray:
+        """Over how many partitions each context of order ``k`` is dealt."""
+        return np.maximum(1, -(-self.count[k - 1] * SALT * self.parts // max(1, self.totals.total)))
+
+    def above(self, k: int) -> Level:
+        """The n-grams of order ``k``, from the level below."""
+        if k in self.level:
+            return self.level[k]
+        below = self.level[k - 1].place
+        ctx = np.empty(len(self.local), np.int64)
+        ctx[1:] = below[:-1]
+        ctx[self.first] = self.row["end"] if k == 2 else -1
+        has = np.flatnonzero(ctx >= 0)
+        has = has[self.count[k - 1][ctx[has]] > 0]
+        ctx, word, place = ctx[has], self.local[has], np.full(len(self.local), -1)
+        if len(has):
+            part, salts = _part(mix(self.number[k - 1].astype(U64)), self.parts)[ctx], self.salts(k)[ctx]
+            at = np.flatnonzero(salts > 1)
+            part[at] = (part[at] + (mix(self.number[1][word[at]].astype(U64)) % salts[at].astype(U64)).astype(np.int64)) % self.parts
+            first, mine = _distinct(part, ctx, word)
+            place[has] = mine
+            counts = np.bincount(mine[self.learn[has]], minlength=len(first)).astype(np.int64)
+            lower = below[has[first]]
+            part, ctx, word = part[first], ctx[first], word[first]
+        else:
+            part = counts = lower = has
+        self.level[k] = Level(part, ctx, word, counts, lower, place)
+        return self.level[k]
 
     def _read(self, k: int, answers: list, hot: list) -> None:
-        r = self.request(k)
-        n = len(self.level[k].ctx)
-        self.count[k], self.number[k] = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.bare[k], self.weight[k] = np.zeros(n, bool), np.ones(n)
-        if not len(r.sel):
+        r = self.above(k)
+        n = len(r.ctx)
+        self.number[k], self.bare[k], self.weight[k] = np.zeros(n, np.int64), np.zeros(n, bool), np.ones(n)
+        if not n:
+            self.count[k] = np.zeros(0, np.int64)
             return
         found = np.concatenate([unpack(x["found"], np.uint32) for x in answers])
         count, bare = (found & ~BARE).astype(np.int64), (found & BARE) > 0
         seen = count > 0
-        number = np.zeros(len(found), np.int64)
-        number[seen] = np.concatenate([unpack_sorted(x["places"]) for x in answers]).astype(np.int64) * self.parts + r.part[seen] + FIRST
+        # numbers go by partition, then by place, as the n-grams of this block do
+        self.number[k][seen] = np.concatenate([np.cumsum(unpack_small(x["places"])) for x in answers]) + (r.part[seen] << PLACE_BITS) + FIRST
         few = np.concatenate([unpack(x["few"], np.int32) for x in answers]).reshape(-1, K)
         low = np.concatenate([unpack(x["low"], np.float64) for x in answers])
-        weight, cc = np.ones(len(found)), r.c_ctx
+        weight, cc = self.weight[k], self.context_count(k)
         at = np.flatnonzero(~seen)
         d = self.totals.d[k]
         if len(at):
             c, p = r.ctx[at], r.part[at]
             which = np.cumsum(np.append(True, (c[1:] != c[:-1]) | (p[1:] != p[:-1]))) - 1
             weight[at] = backoff(few[which], low[which], cc[at], d)[0]
-        if r.salted.any():
+        salted = self.salts(k)[r.ctx] > 1
+        if salted.any():
             h = np.array([x["h"] for x in hot], np.int64)
             order = np.argsort(h)
-            mine = np.flatnonzero(r.salted)
-            at = order[np.searchsorted(h[order], r.ctx[mine].view(np.int64))]
+            mine = np.flatnonzero(salted)
+            at = order[np.searchsorted(h[order], self.number[k - 1][r.ctx[mine]])]
             n_hot = np.array([[x[f"n{i}"] for i in range(K)] for x in hot], np.float64)[at]
             low_hot = np.array([x["low"] for x in hot], np.float64)[at]
             weight[mine], bare[mine] = backoff(n_hot, low_hot, cc[mine], d)
-        for kept, value in ((self.count[k], count), (self.number[k], number), (self.bare[k], bare), (self.weight[k], weight)):
-            kept[r.sel] = value
+        self.count[k], self.bare[k] = count, bare
 
     def probabilities(self, order: int) -> np.ndarray:
         """Probability of each token, from the lowest order up."""
-        p = self.totals.unigram(self.count[1])[self.b.local]
+        p = self.totals.unigram(self.count[1])[self.local]
         for k in range(2, order + 1):
-            place, cc = self.level[k].place, self.context_count(k)
-            at = np.flatnonzero(place >= 0)
-            at = at[cc[place[at]] > 0]
-            g = place[at]
+            cc = self.context_count(k)
+            at = np.flatnonzero(self.level[k].place >= 0)
+            g = self.level[k].place[at]
             c = self.count[k][g]
             high = self.totals.seen(k, c, cc[g] + self.bare[k][g])
             p[at] = np.where(c > 0, high, self.weight[k][g] * p[at])
         return p
 
 
-class Requests:
-    """A block's distinct n-grams of order ``k`` whose context was seen, in the order of their partitions."""
-
-    def __init__(self, e: Evaluation, k: int):
-        level, parts = e.level[k], e.parts
-        c_ctx = e.context_count(k)
-        sel = np.flatnonzero(c_ctx > 0)
-        ctx, word = e.number[k - 1][level.ctx[sel]].astype(U64), e.number[1][level.word[sel]].astype(U64)
-        salts = np.maximum(1, -(-c_ctx[sel] * SALT * parts // max(1, e.totals.total)))
-        part = (_part(mix(ctx), parts) + (mix(word) % salts.astype(U64)).astype(np.int64)) % parts
-        order = np.lexsort((word, ctx))
-        order = order[np.argsort(part[order].astype(np.int32), kind="stable")]
-        self.sel, self.ctx, self.word, self.part = sel[order], ctx[order], word[order], part[order]
-        self.salted, self.c_ctx = salts[order] > 1, c_ctx[self.sel]
-
-
 def _ask(k: int, totals: Totals, parts: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                e = Evaluation(batch.slice(i, 1).to_pylist()[0], totals, parts, k - 1)
-                r, level = e.request(k), e.level[k]
-                if not len(r.sel):
+                row = batch.slice(i, 1).to_pylist()[0]
+                e = Evaluation(row, totals, parts, k - 1)
+                r = e.above(k)
+                if not len(r.ctx):
                     continue
                 used = np.unique(r.part)
                 bounds = np.append(np.searchsorted(r.part, used), len(r.part))
                 head = np.flatnonzero(np.append(True, (r.ctx[1:] != r.ctx[:-1]) | (r.part[1:] != r.part[:-1])))
                 heads = np.append(np.searchsorted(head, bounds[:-1]), len(head))
-                sizes = np.diff(np.append(head, len(r.ctx))).astype(np.int32)
-                counts, lower = level.counts[r.sel], level.lower[r.sel]
-                of_lower = e.count[k - 1][lower]
+                sizes = np.diff(np.append(head, len(r.ctx)))
+                of_lower = e.count[k - 1][r.lower]
+                ctx, word = e.number[k - 1][r.ctx[head]], e.number[1][r.word]
                 cols = [
-                    _cut_sorted(r.ctx[head], heads), _cut(sizes, heads), _cut(r.salted[head], heads), _pack_steps(r.word, head, bounds),
-                    _cut(counts.astype(np.int32), bounds), _cut(np.where(counts > 0, of_lower, 0), bounds),
-                    _cut(e.context_count(k - 1)[lower][head], heads), _cut(e.bare[k - 1][lower][head], heads),
+                    _cut_steps(ctx, heads), _cut_small(sizes, heads), _cut(e.salts(k)[r.ctx[head]] > 1, heads), _pack_steps(word, head, bounds),
+                    _cut_small(r.counts, bounds), _cut_small(np.where(r.counts > 0, of_lower, 0), bounds),
+                    _cut(e.context_count(k - 1)[r.lower][head], heads), _cut(e.bare[k - 1][r.lower][head], heads),
                 ]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(used), e.b.block)), pa.array(used.astype(np.int32)), *(pa.array(c, pa.binary()) for c in cols)],
+                    [pa.array(np.full(len(used), row["block"])), pa.array(used.astype(np.int32)), *(pa.array(c, pa.binary()) for c in cols)],
                     ["block", "p", *PACKET],
                 )
 
@@ -448,23 +522,26 @@ def _add(k: int, totals: Totals):
 
     def run(t: pa.Table) -> pa.Table:
         get = lambda name, kind: np.concatenate([unpack(x.as_py(), kind) for x in t[name]])
-        sizes = get("sizes", np.int32)
+        small = lambda name: np.concatenate([unpack_small(x.as_py()) for x in t[name]])
+        sizes = small("sizes")
         if not len(sizes):  # a stored table without n-grams
             return pa.table({f.split()[0]: pa.array([], KINDS[f.split()[1]]) for f in FOUND.split(", ")})
         of_head = lambda v: np.repeat(v, sizes)
-        word = _unpack_steps(t["word"].to_pylist(), sizes)
-        ctx = of_head(np.concatenate([unpack_sorted(x.as_py()) for x in t["ctx"]]))
-        per_packet = [len(unpack(x.as_py(), np.int32)) for x in t["counts"]]
-        bounds = np.append(0, np.cumsum(per_packet))
-        order = np.lexsort((word, ctx))
+        word = _unpack_steps(small("word"), sizes)
+        ctx = of_head(np.concatenate([np.cumsum(unpack_small(x.as_py())) for x in t["ctx"]]))
+        each = [unpack_small(x.as_py()) for x in t["counts"]]
+        bounds = np.append(0, np.cumsum([len(x) for x in each]))
+        u, dense = np.unique(ctx, return_inverse=True)
+        bits = int(word.max()).bit_length()
+        order = np.argsort(dense << bits | word, kind="stable") if bits + len(u).bit_length() < 63 else np.lexsort((word, ctx))
         ctx, word = ctx[order], word[order]
         start = np.flatnonzero(np.append(True, (ctx[1:] != ctx[:-1]) | (word[1:] != word[:-1])))
         inv = np.empty(len(order), np.int64)
         inv[order] = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(order))))
         ctx, word = ctx[start], word[start]
         reduce = lambda f, v: f.reduceat(v[order], start)
-        total = reduce(np.add, get("counts", np.int32).astype(np.int64))
-        lower = reduce(np.maximum, get("lower", np.int64))
+        total = reduce(np.add, np.concatenate(each))
+        lower = reduce(np.maximum, small("lower"))
         head = np.flatnonzero(np.append(True, ctx[1:] != ctx[:-1]))
         context = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(ctx))))
         by_context = lambda v: np.maximum.reduceat(reduce(np.maximum, of_head(v)), head)
@@ -487,8 +564,8 @@ def _add(k: int, totals: Totals):
             new = new[np.append(True, new[1:] != new[:-1])] if len(new) else new
             salted = np.unique(met[part[met]])
             rows.append((
-                b, pack(counts[mine]), pack_sorted(place[mine][seen[mine]].astype(U64)), pack(n[new].astype(np.int32).ravel()), pack(mass[new]),
-                ctx[head[salted]].view(np.int64).tolist(),
+                b, pack(counts[mine]), pack_small(np.diff(place[mine][seen[mine]], prepend=0)), pack(n[new].astype(np.int32).ravel()), pack(mass[new]),
+                ctx[head[salted]].tolist(),
             ))
         p, m = t["p"][0].as_py(), len(rows)
         salted = np.flatnonzero(part)
@@ -501,8 +578,8 @@ def _add(k: int, totals: Totals):
         whole = np.array([0, len(at)])
         held = c[first] if len(at) else at
         table = [
-            pack_sorted(ctx[at][first]), pack(np.diff(np.append(first, len(at))).astype(np.int32)), pack(part[held]),
-            _pack_steps(word[at], first, whole)[0], pack(total[at].astype(np.int32)), pack(lower[at]), pack(low_count[held]), pack(low_bare[held]),
+            pack_small(np.diff(ctx[at][first], prepend=0)), pack_small(np.diff(np.append(first, len(at)))), pack(part[held]),
+            _pack_steps(word[at], first, whole)[0], pack_small(total[at]), pack_small(lower[at]), pack(low_count[held]), pack(low_bare[held]),
         ]
         none = lambda count: [None] * count
         return pa.table(
@@ -511,7 +588,7 @@ def _add(k: int, totals: Totals):
                 "found": pa.array([*found, *none(more)], pa.binary()), "places": pa.array([*places, *none(more)], pa.binary()),
                 "few": pa.array([*few_, *none(more)], pa.binary()), "low": pa.array([*low, *none(more)], pa.binary()),
                 "need": pa.array([*need, *none(more)], pa.list_(pa.int64())),
-                "h": pa.array([*none(m + 1), *ctx[head[salted]].view(np.int64).tolist()], pa.int64()),
+                "h": pa.array([*none(m + 1), *ctx[head[salted]].tolist()], pa.int64()),
                 "stats": pa.array([*none(m), _of_counts(total), *(n[i].tolist() for i in salted)], pa.list_(pa.int64())),
                 "mass": pa.array([*none(m + 1), *mass[salted].tolist()], pa.float64()),
                 **{name: pa.array([*none(m), v, *none(more - 1)], pa.binary()) for name, v in zip(PACKET, table)},
@@ -525,16 +602,17 @@ def _score(totals: Totals, parts: int, order: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                e = Evaluation(batch.slice(i, 1).to_pylist()[0], totals, parts, order)
-                b, c = e.b, e.count[1][e.b.local]
+                row = batch.slice(i, 1).to_pylist()[0]
+                e = Evaluation(row, totals, parts, order)
+                c = e.count[1][e.local]
                 base = np.log10((c + 1) / (totals.total + totals.types + 1))
-                per_doc = lambda v: np.add.reduceat(v, b.first)
-                miss = b.missing > 0
+                per_doc = lambda v: np.add.reduceat(v, e.first)
+                miss = unpack(row["missing"], np.int8) > 0
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(b.ids, pa.int64(), mask=miss), pa.array(b.fold == HELD_OUT, pa.bool_(), mask=miss),
-                        pa.array(b.n.astype(np.int64)), pa.array(per_doc((c > 0).astype(np.int64))),
-                        pa.array(np.full(len(b.n), totals.total)), pa.array(per_doc(base)), pa.array(per_doc(np.log10(e.probabilities(order)))),
+                        pa.array(unpack(row["ids"], np.int64), pa.int64(), mask=miss), pa.array(unpack(row["fold"], np.int8) == HELD_OUT, pa.bool_(), mask=miss),
+                        pa.array(e.n.astype(np.int64)), pa.array(per_doc((c > 0).astype(np.int64))),
+                        pa.array(np.full(len(e.n), totals.total)), pa.array(per_doc(base)), pa.array(per_doc(np.log10(e.probabilities(order)))),
                     ],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
@@ -599,13 +677,15 @@ def _evaluate(docs: DataFrame, order: int, model: Model | None, keep: str | None
     if total and free <= 0:
         free = 1 / (total + 1)
     totals = Totals(total, types, free, {1: d1})
-    answers = [_listed(tokens.where("block IS NOT NULL").select("block", "p", "known", "places"), "a1")]
     if keep:
         tokens.where("block IS NULL").select("p", "codes", "counts").write.parquet(f"{keep}/order1")
         spark.createDataFrame([(parts1, parts, order)], "parts1 int, parts int, order int").write.parquet(f"{keep}/sizes")
-    rows = packed.withColumn("parts1", F.lit(parts1))
+    first = _listed(tokens.where("block IS NOT NULL").select("block", "p", "known", "places"), "a1")
+    settled = table(_rows(packed, [first]).mapInArrow(_settle(parts1), SETTLED))
+    shared.drop(spark, *paths[:2])  # codes and counts of tokens are in the settled blocks
+    answers: list[DataFrame] = []
     for k in range(2, order + 1):
-        asked = _rows(rows, answers).mapInArrow(_ask(k, totals, parts), ASKED)
+        asked = _rows(settled, answers).mapInArrow(_ask(k, totals, parts), ASKED)
         if model:
             asked = asked.unionByName(model.packets(spark, k))
         found = table(asked.groupBy("p").applyInArrow(_add(k, totals), FOUND))
@@ -616,8 +696,8 @@ def _evaluate(docs: DataFrame, order: int, model: Model | None, keep: str | None
             found.where("block IS NULL AND h IS NULL").select("p", *PACKET).write.parquet(f"{keep}/order{k}")
         own = found.where("block IS NOT NULL").select("block", "p", "found", "places", "few", "low")
         answers += [_listed(own, f"a{k}"), _hot(found, f"hot{k}")]
-    shared.drop_since(spark, place, *paths)
-    return _rows(rows, answers).mapInArrow(
+    shared.drop_since(spark, place, *paths[2:])
+    return _rows(settled, answers).mapInArrow(
         _score(totals, parts, order),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )
