@@ -48,24 +48,22 @@ def exists(spark: SparkSession, path: str) -> bool:
 def table(df: DataFrame, free: bool = True) -> tuple[DataFrame, str]:
     """The frame as a written table, and its path: later reads need none of the lineage.
 
-    With ``free``, shuffle files that nothing refers to any more may go.
+    With ``free``, shuffle files that nothing refers to any more may go, unless some went within the last second.
     """
     spark = df.sparkSession
     path = new_path(spark)
     df.write.parquet(path)
-    if free:
+    if free and time.monotonic() - _released > 1:
         release(spark)
     return spark.read.schema(df.schema).parquet(path), path
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of frames that are no longer referenced; within two seconds, once."""
+    """Lets Spark remove the shuffle files of frames that are no longer referenced."""
     global _released
-    if time.monotonic() - _released < 2:
-        return
-    _released = time.monotonic()
     gc.collect()
     spark._jvm.System.gc()
+    _released = time.monotonic()
 
 
 def drop(spark: SparkSession, *paths: str) -> None:
