@@ -683,6 +683,8 @@ def _evaluate(docs: DataFrame, order: int, model: Model | None, keep: str | None
     first = _listed(tokens.where("block IS NOT NULL").select("block", "p", "known", "places"), "a1")
     settled = table(_rows(packed, [first]).mapInArrow(_settle(parts1), SETTLED))
     shared.drop(spark, *paths[:2])  # codes and counts of tokens are in the settled blocks
+    del asked, first, packed, tokens
+    shared.release(spark)
     answers: list[DataFrame] = []
     for k in range(2, order + 1):
         asked = _rows(settled, answers).mapInArrow(_ask(k, totals, parts), ASKED)
