@@ -11,10 +11,10 @@ and others in the order of their partition, which keeps the arrays small.
 
 A partition holds whole contexts, so it computes what their discounts and
 exactly normalised backoff weights are made of: the numbers of followers with
-counts 1 to K, and the probability of all followers in the lower order.  The
-merged n-grams of each partition are part of the table it writes; ``train``
-keeps these tables, and ``score`` can read them back, where they take part like
-one more block.  Contexts so frequent that they would fill a partition are
+counts 1 to K, and the probability of all followers in the lower order.
+``train`` keeps the merged n-grams of each partition as tables, and ``score`` can
+read them back, where they take part like one more block; without a model it
+counts and scores in one pass and writes the answers only.  Contexts so frequent that they would fill a partition are
 salted by the following word; the partial sums of those are added up in a table
 and joined to the blocks that met them.
 
@@ -515,10 +515,10 @@ def backoff(n: np.ndarray, low: np.ndarray, c: np.ndarray, d: np.ndarray) -> tup
     return np.where(c > 0, left / np.maximum(1 - low, 1e-300), 1.0), bare & (c > 0)
 
 
-def _add(k: int, totals: Totals):
+def _add(k: int, totals: Totals, keep: bool):
     """One partition of the table of order ``k``: adds up, and answers with counts and, for what was seen, places; for a
     context that some block met with an unseen word, with what its backoff weight is made of; one row of statistics
-    and the merged table; and the partial sums of salted contexts."""
+    and, with ``keep``, the merged table; and the partial sums of salted contexts."""
 
     def run(t: pa.Table) -> pa.Table:
         get = lambda name, kind: np.concatenate([unpack(x.as_py(), kind) for x in t[name]])
@@ -577,7 +577,7 @@ def _add(k: int, totals: Totals):
         first = np.flatnonzero(np.append(True, c[1:] != c[:-1])) if len(at) else at
         whole = np.array([0, len(at)])
         held = c[first] if len(at) else at
-        table = [
+        table = [None] * len(PACKET) if not keep else [
             pack_small(np.diff(ctx[at][first], prepend=0)), pack_small(np.diff(np.append(first, len(at)))), pack(part[held]),
             _pack_steps(word[at], first, whole)[0], pack_small(total[at]), pack_small(lower[at]), pack(low_count[held]), pack(low_bare[held]),
         ]
@@ -690,7 +690,7 @@ def _evaluate(docs: DataFrame, order: int, model: Model | None, keep: str | None
         asked = _rows(settled, answers).mapInArrow(_ask(k, totals, parts), ASKED)
         if model:
             asked = asked.unionByName(model.packets(spark, k))
-        found = table(asked.groupBy("p").applyInArrow(_add(k, totals), FOUND))
+        found = table(asked.groupBy("p").applyInArrow(_add(k, totals, bool(keep)), FOUND))
         del asked
         shared.release(spark)
         totals = Totals(total, types, free, totals.d | {k: discounts(_sums(found.where("block IS NULL AND h IS NULL"), K + 1))})
