@@ -106,6 +106,7 @@ class HammingIndex:
 
     def __init__(self, prints: np.ndarray):
         self.prints = prints.reshape(-1, 2)
+        self.values = np.ascontiguousarray(self.prints).view("<u2").reshape(len(self.prints), BLOCKS)
         self.lists = []
         for values in self._blocks(self.prints).T:
             order = np.argsort(values, kind="stable").astype(np.int32)
@@ -116,7 +117,13 @@ class HammingIndex:
         return np.ascontiguousarray(prints).view("<u2").reshape(len(prints), BLOCKS).astype(np.int64)
 
     def candidates(self, p: np.ndarray) -> np.ndarray:
-        """Places of stored fingerprints that share a block with ``p`` up to ERRORS bits."""
+        """Places of stored fingerprints that share a block with ``p`` up to ERRORS bits.
+
+        With fewer stored fingerprints than probes the block values themselves are compared; the result is the same.
+        """
+        if len(self.prints) <= len(NEAR):
+            wrong = np.bitwise_count(self.values ^ np.ascontiguousarray(p).view("<u2"))
+            return np.flatnonzero((wrong <= ERRORS).any(axis=1))
         found = []
         for value, (first, order) in zip(self._blocks(p[None])[0], self.lists):
             probe = value ^ NEAR
