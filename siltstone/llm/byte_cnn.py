@@ -1,7 +1,8 @@
 """Document quality from a byte-level convolutional network in numpy.
 
-Bytes are embedded; filters of WIDTH bytes slide in steps of STEP over chunks
-that overlap and together cover the whole document; each filter is max-pooled
+Bytes are embedded; filters of WIDTH bytes slide byte by byte (STEP = 1) over
+chunks that overlap by more than a filter, so every window of WIDTH bytes of the
+document is seen, wherever a pattern stands; each filter is max-pooled
 over a chunk, the chunks' pools are joined as their maximum and their mean, and
 a logistic layer turns that into one probability.  The network is fitted by
 Adam on a bounded sample of training rows.
@@ -24,10 +25,10 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.labelled import FOLDS, remainder, training_sample
 
-DIM, WIDTH, STEP, FILTERS = 6, 8, 4, 24
+DIM, WIDTH, STEP, FILTERS = 6, 8, 1, 24
 CHUNK, OVERLAP = 1024, 64
 #: Chunks convolved at a time.
-AT_A_TIME = 256
+AT_A_TIME = 32
 THRESHOLD = 0.3
 SAMPLE = 3000
 

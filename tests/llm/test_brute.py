@@ -271,6 +271,21 @@ def test_op8_forward():
     assert covered.all() and b"".join(c[: byte_cnn.CHUNK - byte_cnn.OVERLAP].tobytes() for c in byte_cnn._chunks(data)[:-1]) == data[: 960 * (len(byte_cnn._chunks(data)) - 1)]
 
 
+def test_op8_sees_a_pattern_at_every_place():
+    """A filter's maximum over a text of one chunk does not depend on where the window that causes it stands."""
+    net = byte_cnn.ByteCNN()
+    rng = random.Random(18)
+    window = bytes(rng.choices(range(256), k=byte_cnn.WIDTH))
+    for at in range(9):
+        data = b" " * (byte_cnn.WIDTH + at) + window + b" " * 40
+        alone = net._conv(np.frombuffer(window, np.uint8)[None])[0] + net.p["b"]
+        assert (net.pooled(data)[: byte_cnn.FILTERS] >= np.maximum(alone, 0) - 1e-5).all()
+    text = bytes(rng.choices(range(256), k=5000))
+    windows = {text[i : i + byte_cnn.WIDTH] for i in range(len(text) - byte_cnn.WIDTH + 1)}
+    seen = {c[i : i + byte_cnn.WIDTH].tobytes() for c in byte_cnn._chunks(text) for i in range(0, len(c) - byte_cnn.WIDTH + 1, byte_cnn.STEP)}
+    assert seen == windows
+
+
 def test_op8_gradient_over_all_chunks(monkeypatch):
     """Finite differences on a text of far more chunks than are convolved at a time."""
     rng = random.Random(17)
