@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import chunkers, references
-from siltstone.operators import cachesim, cluster, dedup, ingest, placement, registry, similarity, trace
+from siltstone.operators import cachesim, cluster, dedup, ingest, pairblocks, placement, registry, similarity, trace
 from siltstone.plans.register import QUERIES, SQL, Query, T, query
 from siltstone.sources import archives
 from siltstone.streaming import events as ev
@@ -623,8 +623,8 @@ def operation_log(spark, d):
 @query(HASHES + ", m AS (SELECT b, min(dist) AS cost, arg_min(a, dist * 1000000 + a) AS a FROM p GROUP BY b) SELECT vec_id AS b, CASE WHEN cost < 24 THEN a END AS reference, least(24, coalesce(cost, 24))::INT AS cost FROM h LEFT JOIN m ON vec_id = b")
 def best_reference(spark, d):
     h = _hashes(spark, d)
-    pairs = similarity.grid_pairs(h).select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b"), similarity.hamming("a", "b").alias("cost"))
-    return ingest.best_reference(pairs, h.select(F.col("vec_id").alias("b"), F.lit(24).alias("own_cost")))
+    near = pairblocks.nearest_before(h).select(F.col("neighbour").alias("a"), F.col("vec_id").alias("b"), F.col("dist").alias("cost"))
+    return ingest.best_reference(near, h.select(F.col("vec_id").alias("b"), F.lit(24).alias("own_cost")))
 
 
 @query(HASHES + """, t AS (SELECT 8 * i AS threshold FROM range(1, 6) x(i)), n AS (SELECT b, min(dist) AS dist FROM p GROUP BY b), k AS (SELECT threshold, sum(CASE WHEN dist <= threshold THEN dist ELSE 24 END + threshold // 8)::BIGINT AS cost FROM n, t GROUP BY threshold),
