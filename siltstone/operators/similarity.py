@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siltstone.operators import pairblocks
+
 WORD = 32
 
 
@@ -310,17 +312,10 @@ class HashIndex:
 def two_tier(hashes: DataFrame, radius: int, buffer: int = 128) -> DataFrame:
     """The nearest earlier vector of each within ``radius``, over a buffer of the last ``buffer`` and an index of the rest.
 
-    Rows have ordinals ``n``.  The buffer is searched by brute force between
-    neighbouring stretches of ``buffer`` rows; the index by bands.  Ties go to the newest.
+    Rows have ordinals ``n``.  Both tiers are searched in full, as one: at a wide radius bands of a few bits would list
+    more candidates than there are pairs.  Ties go to the newest.
     """
-    d = hamming("a", "b")
-    stretch = F.floor(F.col("n") / buffer).cast("long")
-    a = hashes.withColumn("s", F.explode(F.array(stretch, stretch - 1))).alias("a")
-    b = hashes.withColumn("s", stretch).alias("b")
-    gap = F.col("a.n") - F.col("b.n")
-    recent = a.join(b, F.col("a.s") == F.col("b.s")).where((gap > 0) & (gap <= buffer) & (d <= radius))
-    x, y = (hashes.withColumn("k", F.explode(bands(radius))).alias(z) for z in ("a", "b"))
-    old = x.join(y, F.col("a.k") == F.col("b.k")).where((gap > buffer) & (d <= radius))
-    hit = lambda rows, tier: rows.select(F.col("a.vec_id").alias("vec_id"), d.alias("dist"), (-F.col("b.n")).alias("m"), F.col("b.vec_id").alias("neighbour"), F.lit(tier).alias("tier"))
-    best = hit(recent, "buffer").unionByName(hit(old, "index")).groupBy("vec_id").agg(F.min(F.struct("dist", "m", "neighbour", "tier")).alias("h"))
-    return best.select("vec_id", "h.neighbour", "h.dist", "h.tier")
+    near = pairblocks.nearest_before(hashes, "n", newest=True).where(F.col("dist") <= radius)
+    tier = F.when(F.col("at") - F.col("neighbour_at") <= buffer, "buffer").otherwise("index").alias("tier")
+    hit = near.select("vec_id", F.struct("dist", (-F.col("neighbour_at")).alias("m"), "neighbour", tier).alias("h"))
+    return hit.groupBy("vec_id").agg(F.min("h").alias("h")).select("vec_id", "h.neighbour", "h.dist", "h.tier")

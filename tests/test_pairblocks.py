@@ -35,9 +35,22 @@ def test_nearest_before_is_brute_force(spark, newest):
     assert best == want
 
 
-@pytest.mark.parametrize("name", ["best_reference"])
+@pytest.mark.parametrize("name", ["best_reference", "two_tier_search"])
 def test_pairs_are_not_joined_rows(spark, name):
     """No join compares the keys of a pair: a pair stays inside a cell (before, each was a joined row that was sorted or grouped)."""
     plan = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     joins = [x for x in plan.split("\n") if "Join" in x]
     assert joins and not any(re.search(r"[<>]|bit_count", x) for x in joins)
+
+
+def test_two_tiers_over_copies(spark):
+    """All copies in one bucket: the newest copy is found, and its tier goes by the gap."""
+    rows = [(i, 5 if i in (0, 300, 310) else (1 << 40) + (i << 20)) for i in range(311)]
+    got = {r.vec_id: (r.neighbour, r.dist, r.tier) for r in similarity.two_tier(frame(spark, rows).withColumn("n", F.col("vec_id") + 1), 15).collect()}
+    assert got[310] == (300, 0, "buffer") and got[300][1] <= 15
+    want = {}
+    for i, h in rows:
+        near = min((((h ^ g).bit_count(), -j) for j, g in rows[:i]), default=(99, 0))
+        if near[0] <= 15:
+            want[i] = (-near[1], near[0], "buffer" if i + near[1] <= 128 else "index")
+    assert got == want
