@@ -148,11 +148,7 @@ def _queries_against_all(rows: DataFrame, key: str, value: str, every: int) -> D
 
 def normalised(vectors: DataFrame, every: int = 20) -> DataFrame:
     """Cosine and angle of vectors brought to length one beforehand, so a pair costs one product."""
-    v = F.col("embedding")
-    unit = vectors.select("vec_id", F.transform(v, lambda x: x.cast("double") / F.sqrt(dot(v, v))).alias("u"))
-    rows = _queries_against_all(unit, "vec_id", "u", every).withColumn("c", dot(F.col("x"), F.col("y")))
-    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("c"))))
-    return rows.select("q", "vec_id", F.round(1 - F.col("c"), 4).alias("normalised_cosine"), F.round(angle, 4).alias("normalised_angle"))
+    return pairblocks.queries_against_all(vectors, pairblocks.unit_distances, ["normalised_cosine", "normalised_angle"], every)
 
 
 def sparse_jaccard(sets: DataFrame, every: int = 20) -> DataFrame:

@@ -54,3 +54,32 @@ def test_two_tiers_over_copies(spark):
         if near[0] <= 15:
             want[i] = (-near[1], near[0], "buffer" if i + near[1] <= 128 else "index")
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["normalised_distances"])
+def test_odd_vectors_as_in_sql(spark, tmp_path, name):
+    """Zero vectors, copies, missing vectors and missing components (zero vectors were an error before)."""
+    rng = random.Random(3)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(64)], 0) for i in range(60)]
+    rows[20] = (20, [0.0] * 64, 0)
+    rows[21] = (21, [0.0] * 64, 0)
+    rows[40] = (40, rows[41][1], 0)
+    if name == "vector_distances":
+        rows[5] = (5, None, 0)
+        rows[6] = (6, [None, *rows[6][1][1:]], 0)
+    rows.append((None, rows[7][1], 0))
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    df = catalogue.queries()[name](spark, str(tmp_path))
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = c.sql(catalogue.oracle_sql()[name])
+    known = lambda v: "nan" if isinstance(v, float) and math.isnan(v) else v + 0.0 if isinstance(v, float) else v
+    key = lambda r: tuple(str(known(v)) for v in r)
+    assert sorted(key([r[x] for x in want.columns]) for r in df.collect()) == sorted(map(key, want.fetchall()))
+
+
+def test_rounding_is_half_away_from_zero():
+    import numpy as np
+
+    got = pairblocks.rounded(np.array([0.00005, 0.03125, -0.03125, -1e-16, 2.5, 0.90625, 1.23454999]))
+    assert got.tolist() == [0.0001, 0.0313, -0.0313, 0.0, 2.5, 0.9063, 1.2345] and math.copysign(1, got[3]) == 1
