@@ -104,37 +104,10 @@ def depth_totals(candidates: DataFrame) -> DataFrame:
     return running_best(candidates).groupBy("rank").agg(F.count(F.lit(1)).alias("vectors"), F.sum("best").cast("long").alias("total"))
 
 
-def dot(x: Column, y: Column) -> Column:
-    return F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, b: a + b)
-
-
-def distances(x: Column, y: Column) -> dict[str, Column]:
-    """L1, L2, cosine and angle distances of two vectors, and Jaccard of the sets of their positive places."""
-    diff = F.zip_with(x, y, lambda a, b: a.cast("double") - b.cast("double"))
-    add = lambda a, b: a + b
-    cos = dot(x, y) / F.sqrt(dot(x, x) * dot(y, y))
-    both = F.zip_with(x, y, lambda a, b: ((a > 0) & (b > 0)).cast("int"))
-    any_ = F.zip_with(x, y, lambda a, b: ((a > 0) | (b > 0)).cast("int"))
-    return {
-        "l1": F.aggregate(diff, F.lit(0.0), lambda s, d: s + F.abs(d)),
-        "l2": F.sqrt(F.aggregate(diff, F.lit(0.0), lambda s, d: s + d * d)),
-        "cosine": 1 - cos,
-        "angle": F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos))),
-        "jaccard": 1 - F.aggregate(both, F.lit(0), add) / F.greatest(F.lit(1), F.aggregate(any_, F.lit(0), add)),
-    }
-
-
 def query_distances(vectors: DataFrame, every: int = 20) -> DataFrame:
-    """Distances from the query vectors (ids divisible by ``every``) to all others.
-
-    The queries are dealt over blocks, as many as keep a block at CELL queries, that meet every vector once.
-    """
-    q = vectors.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("q"), F.col("embedding").alias("x"))
-    blocks = max(8, _cells(q))
-    q = q.withColumn("blk", F.pmod(F.xxhash64("q"), F.lit(blocks)))
-    v = vectors.select("vec_id", F.col("embedding").alias("y")).withColumn("blk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    rows = q.join(v, "blk").where(F.col("q") != F.col("vec_id"))
-    return rows.select("q", "vec_id", *[F.round(c, 4).alias(n) for n, c in distances(F.col("x"), F.col("y")).items()])
+    """L1, L2, cosine and angle distances, and Jaccard of the sets of positive places, from the query vectors (ids
+    divisible by ``every``) to all others."""
+    return pairblocks.queries_against_all(vectors, pairblocks.all_distances, ["l1", "l2", "cosine", "angle", "jaccard"], every)
 
 
 def _queries_against_all(rows: DataFrame, key: str, value: str, every: int) -> DataFrame:

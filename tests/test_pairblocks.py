@@ -56,7 +56,7 @@ def test_two_tiers_over_copies(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["normalised_distances"])
+@pytest.mark.parametrize("name", ["vector_distances", "normalised_distances"])
 def test_odd_vectors_as_in_sql(spark, tmp_path, name):
     """Zero vectors, copies, missing vectors and missing components (zero vectors were an error before)."""
     rng = random.Random(3)
