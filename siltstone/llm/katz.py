@@ -115,19 +115,20 @@ def unpack(data: bytes, kind: type) -> np.ndarray:
 
 def pack_small(values: np.ndarray) -> bytes:
     """Numbers in groups of seven bits, the low ones first; the last byte of a number is below 128."""
-    v = values.astype(U64)
-    bytes_ = [v]
-    while (bytes_[-1] >> U64(7)).any():
-        bytes_.append(bytes_[-1] >> U64(7))
-    size = np.ones(len(v), np.int64)
-    for b in bytes_[1:]:
-        size += b > 0
-    last = np.cumsum(size)
+    most = int(values.max()) if len(values) else 0
+    v = values.astype(np.uint32 if most < 1 << 32 else U64)
+    size = np.ones(len(v), np.int8)
+    longer = []
+    for shift in range(7, most.bit_length(), 7):
+        longer.append(np.flatnonzero(v >> v.dtype.type(shift)))
+        size[longer[-1]] += 1
+    last = np.cumsum(size, dtype=np.int64)
+    first = last - size
     out = np.empty(int(last[-1]) if len(v) else 0, np.uint8)
-    for i, b in enumerate(bytes_):
-        has = np.flatnonzero(size > i) if i else slice(None)
-        more = (size[has] > i + 1).astype(np.uint8) << 7
-        out[last[has] - size[has] + i] = (b[has] & U64(127)).astype(np.uint8) | more
+    out[first] = v.astype(np.uint8) & 127 | (size > 1).astype(np.uint8) << 7
+    for i, has in enumerate(longer, 1):
+        low = (v[has] >> v.dtype.type(7 * i)).astype(np.uint8) & 127
+        out[first[has] + i] = low | (size[has] > i + 1).astype(np.uint8) << 7
     return zstandard.compress(out.tobytes(), 3)
 
 
@@ -232,14 +233,16 @@ class Level:
 
 
 def _distinct(part: np.ndarray, ctx: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First row of each distinct triple in their order, and each row's place among them."""
+    """A row of each distinct triple in their order, and each row's place among them."""
     bits = [int(x.max()).bit_length() for x in (part, ctx, word)]
     if sum(bits) < 64:
         key = (part << (bits[1] + bits[2])) | (ctx << bits[2]) | word
-        _, first, place = np.unique(key, return_index=True, return_inverse=True)
-        return first, place
-    order = np.lexsort((word, ctx, part))
-    new = np.append(True, np.any([x[order][1:] != x[order][:-1] for x in (part, ctx, word)], axis=0))
+        order = np.argsort(key)
+        key = key[order]
+        new = np.append(True, key[1:] != key[:-1])
+    else:
+        order = np.lexsort((word, ctx, part))
+        new = np.append(True, np.any([x[order][1:] != x[order][:-1] for x in (part, ctx, word)], axis=0))
     place = np.empty(len(order), np.int64)
     place[order] = np.cumsum(new) - 1
     return order[new], place
@@ -528,12 +531,13 @@ def _add(k: int, totals: Totals, keep: bool):
             return pa.table({f.split()[0]: pa.array([], KINDS[f.split()[1]]) for f in FOUND.split(", ")})
         of_head = lambda v: np.repeat(v, sizes)
         word = _unpack_steps(small("word"), sizes)
-        ctx = of_head(np.concatenate([np.cumsum(unpack_small(x.as_py())) for x in t["ctx"]]))
+        heads = np.concatenate([np.cumsum(unpack_small(x.as_py())) for x in t["ctx"]])
         each = [unpack_small(x.as_py()) for x in t["counts"]]
         bounds = np.append(0, np.cumsum([len(x) for x in each]))
-        u, dense = np.unique(ctx, return_inverse=True)
+        u, dense = np.unique(heads, return_inverse=True)
+        ctx, dense = of_head(heads), of_head(dense)
         bits = int(word.max()).bit_length()
-        order = np.argsort(dense << bits | word, kind="stable") if bits + len(u).bit_length() < 63 else np.lexsort((word, ctx))
+        order = np.argsort(dense << bits | word) if bits + len(u).bit_length() < 63 else np.lexsort((word, ctx))
         ctx, word = ctx[order], word[order]
         start = np.flatnonzero(np.append(True, (ctx[1:] != ctx[:-1]) | (word[1:] != word[:-1])))
         inv = np.empty(len(order), np.int64)
