@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -28,3 +29,11 @@ def slices(batches: Iterable[pa.RecordBatch], most: int = 1 << 22) -> Iterator[p
             held += n
         if b.num_rows > at:
             yield b.slice(at)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: Python workers are used again by the next stage and keep what the last one freed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim:
+        trim(0)

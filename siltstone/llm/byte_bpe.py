@@ -24,13 +24,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from siltstone.llm.arrowrows import slices, with_bytes
+from siltstone.llm.arrowrows import give_back, slices, with_bytes
 
 INF = 1 << 62
 #: For rows: no pair; key = rank * POSITIONS + position.
 INF32, POSITIONS = 1 << 40, 64
-#: Pieces remembered in each of two generations, per Python worker.
-REMEMBERED = 1 << 17
+#: Pieces remembered in each of two generations, per Python worker, and pieces merged at once.
+REMEMBERED, TOGETHER = 1 << 17, 1 << 13
+#: Bytes of text encoded at once by ``round_trip``, whose worker runs beside all that a pipeline has left in memory.
+SLICE = 1 << 20
 #: Longer texts are cut into pieces lazily, so many at a time.
 LONG_TEXT, AT_A_TIME = 1 << 20, 1 << 17
 #: Pieces of up to this many bytes are merged side by side, one numpy row each.
@@ -96,8 +98,9 @@ class ByteBPE:
         self.names = [str(i) for i in range(len(self.bytes_of))]
         self._pairs = PairRanks(ranks)
         self._bytes = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
-        self._young: dict[str, tuple[int, ...]] = {}
-        self._old: dict[str, tuple[int, ...]] = {}
+        # ids as bytes of int32: a fraction of a tuple's memory
+        self._young: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Ids of one pre-token of any length."""
@@ -153,7 +156,11 @@ class ByteBPE:
         return tuple(out)
 
     def merge_rows(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        """``merge`` for pieces of 2 to ROW bytes: one segment tree a row, updated side by side."""
+        """``merge`` for pieces of 2 to ROW bytes."""
+        return [tuple(np.frombuffer(ids, np.int32).tolist()) for ids in self._merge_rows(pieces)]
+
+    def _merge_rows(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of pieces of 2 to ROW bytes as int32: one segment tree a row, updated side by side."""
         size = np.array([len(p) for p in pieces])
         width = max(2, 1 << int(size.max() - 2).bit_length())
         rows, cols = len(pieces), width + 2
@@ -212,11 +219,11 @@ class ByteBPE:
             put(root, left, np.where(rank == none, INF32, rank * POSITIONS + left))
         grid = token.reshape(rows, cols)
         kept = grid >= 0
-        flat = grid[kept].tolist()
-        ends = np.cumsum(kept.sum(axis=1)).tolist()
-        return [tuple(flat[a:b]) for a, b in zip([0, *ends], ends)]
+        flat = grid[kept].astype(np.int32).tobytes()
+        ends = (4 * np.cumsum(kept.sum(axis=1))).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
-    def _learn(self, pieces: set[str]) -> dict[str, tuple[int, ...]]:
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
         """Remembers the ids of all these pieces."""
         young, old = self._young, self._old
         if len(young) >= REMEMBERED:
@@ -228,34 +235,31 @@ class ByteBPE:
                 continue
             raw = p.encode("utf-8")
             if (whole := self.ranks.get(raw)) is not None:
-                young[p] = (whole,)
+                young[p] = np.int32(whole).tobytes()
             elif len(raw) > ROW:
-                young[p] = self.merge(raw)
+                young[p] = np.array(self.merge(raw), np.int32).tobytes()
             else:
                 by_width.setdefault((len(raw) - 2).bit_length(), []).append((p, raw))
         for group in by_width.values():
-            for at in range(0, len(group), 1 << 14):
-                part = group[at : at + (1 << 14)]
-                young.update(zip([p for p, _ in part], self.merge_rows([r for _, r in part])))
+            for at in range(0, len(group), TOGETHER):
+                part = group[at : at + TOGETHER]
+                young.update(zip([p for p, _ in part], self._merge_rows([r for _, r in part])))
         return young
 
     def encode_many(self, texts: list[str]) -> Iterator[list[int]]:
         """The ids of each text; pieces that are new are merged together."""
         found = [self.pattern.findall(t) if len(t) < LONG_TEXT else None for t in texts]
         known = self._learn(set().union(*(f for f in found if f is not None)))
-        for text, pieces in zip(texts, found):
-            ids: list[int] = []
-            extend = ids.extend
+        for i, (text, pieces) in enumerate(zip(texts, found)):
             if pieces is not None:
-                for p in pieces:
-                    extend(known[p])
+                ids = b"".join(map(known.__getitem__, pieces))
+                found[i] = None
             else:
-                matches = (m.group() for m in self.pattern.finditer(text))
+                parts, matches = [], (m.group() for m in self.pattern.finditer(text))
                 while part := list(islice(matches, AT_A_TIME)):
-                    own = self._learn(set(part))
-                    for p in part:
-                        extend(own[p])
-            yield ids
+                    parts.append(b"".join(map(self._learn(set(part)).__getitem__, part)))
+                ids = b"".join(parts)
+            yield np.frombuffer(ids, np.int32).tolist()
 
     def encode(self, text: str) -> list[int]:
         return next(self.encode_many([text]))
@@ -307,7 +311,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path, pattern)
-        for b in slices(batches, 1 << 21):
+        give_back()
+        for b in slices(batches, SLICE):
             n, a, z, kept = [], [], [], []
             for ids in bpe.encode_many(_texts(b)):
                 n.append(len(ids))

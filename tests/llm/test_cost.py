@@ -1,11 +1,15 @@
-"""What the hot parts of op5 cost in time."""
+"""What the hot parts of op5 and of the pipeline's last stage cost in time and memory."""
 
+import random
 import time
+import tracemalloc
 
 import numpy as np
+import public_tokenizers
 import pytest
 
-from siltstone.llm import katz
+from siltstone.llm import byte_bpe, katz
+from siltstone.llm.queries import VOCABULARY
 
 
 @pytest.mark.parametrize("most", [40, 1 << 20, 1 << 45])
@@ -38,3 +42,18 @@ def test_distinct_ngrams_are_sorted_fast():
 def test_small_numbers_of_any_size():
     for v in ([], [0], [127, 128, 16383, 16384, 2**31, 2**32 - 1, 2**32, 2**55, 2**62, 0], range(100_000)):
         assert katz.unpack_small(katz.pack_small(np.array(v, np.int64))).tolist() == list(v)
+
+
+def test_remembered_pieces_are_small():
+    """Under 200 bytes for each piece that the encoder remembers (tuples of ints: 286), with the ids of a plain merge."""
+    bpe = byte_bpe.ByteBPE(byte_bpe.read_ranks(public_tokenizers.path(VOCABULARY)), public_tokenizers.PATTERN)
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=12)) for _ in range(20_000)]
+    tracemalloc.start()
+    bpe.encode(" ".join(words))
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(bpe._young) >= 19_000 and held / len(bpe._young) < 200
+    ids = bpe.encode(" ".join(words))
+    plain = [r for i, w in enumerate(words[:300]) for r in bpe.merge((" " * (i > 0) + w).encode())]
+    assert ids[: len(plain)] == plain and all(type(i) is int for i in ids[:10])
