@@ -546,6 +546,34 @@ def test_op6_multikey_sort():
         assert a[:n] == b[:n] and (n == 20 or a[n] != b[n])
 
 
+def test_op6_long_texts_and_boundaries(spark):
+    """Repeats that run across the pieces of a long text, and none across texts that lie side by side."""
+    rng = random.Random(13)
+    passage = "".join(rng.choices("abcdefgh", k=3 * suffix_dedup.PIECE // 2))
+    near = passage[:49]
+    rows = [(1, "x" + passage), (2, "yy" * 700 + passage + "w"), (None, passage), (3, near[:25]), (4, near[25:] + "q"), (5, near)]
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    for d, x in rows:
+        kept = ("yy" * 700 + "w" if d == 2 else x).encode()
+        assert got[d].n_removed == len(x) - len(kept) and got[d].n_spans == (d == 2)
+        assert got[d].kept_sha256 == hashlib.sha256(kept).hexdigest()
+
+
+def test_op6_repeated_windows():
+    """Masks of every window, beside comparing all pairs of contexts."""
+    rng = random.Random(14)
+    base = ["".join(rng.choices("ab", k=120)).encode() for _ in range(3)]
+    texts = [b[a : a + rng.randint(50, 90)] for b in base for a in rng.choices(range(40), k=20)]
+    at = np.array([rng.randint(0, len(x) - suffix_dedup.GRAM) for x in texts])
+    rows = np.concatenate([
+        suffix_dedup.contexts(np.frombuffer(x, np.uint8), np.array([i]), np.array([0]), np.array([len(x)])) for x, i in zip(texts, at)
+    ])
+    docs = np.array([rng.randint(0, 30) for _ in texts])
+    windows = [{o: x[i - o : i - o + 50] for o in range(27) if o <= i and i - o + 50 <= len(x)} for x, i in zip(texts, at.tolist())]
+    want = [sum(any(v.get(o) == w and e < d for v, e in zip(windows, docs)) << o for o, w in u.items()) for u, d in zip(windows, docs)]
+    assert suffix_dedup.repeated_windows(rows, docs).tolist() == want and any(want)
+
+
 def test_op7(texts):
     bpe = byte_bpe.encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.ranks, special_tokens={})
